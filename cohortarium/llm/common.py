@@ -95,8 +95,11 @@ class Bounded(dict):
             self.update(zip(missing, self.make(missing)))
 
     def get_all(self, keys: list) -> list:
-        self.fill(keys)
-        return list(map(self.__getitem__, keys))
+        out = list(map(self.get, keys))
+        if None in out:
+            self.fill(keys)
+            out = list(map(self.__getitem__, keys))
+        return out
 
 
 _MULT = [np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) | 1) for j in range(64)]

@@ -27,7 +27,21 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sstable import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_token_shards": op10_token_shards,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op1_chat_formatting": op1_chat_formatting,
     "op8_secret_scan": op8_secret_scan,
 }
