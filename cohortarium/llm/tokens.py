@@ -16,7 +16,9 @@ import numpy as np
 from .common import Bounded
 
 _CHUNK = re.compile("[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+")
-_OTHER_WHITE = re.compile("[\x1c-\x1f\x85  ᠎ -     　﻿]")
+#: Code points of white space beyond ASCII (fixed values), and of the four ASCII separators that some libraries count.
+_CODES = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
+_OTHER_WHITE = re.compile("[" + "".join(map(chr, _CODES)) + "]")
 
 
 def default_path(name: str) -> str:
