@@ -27,6 +27,13 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, judge
+
+    documents = table(spark, sf_dir, "documents")
+    return judge(documents, fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -41,6 +48,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op10_token_shards": op10_token_shards,
+    "op2_quality_rules": op2_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op1_chat_formatting": op1_chat_formatting,
     "op8_secret_scan": op8_secret_scan,
