@@ -46,7 +46,14 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 QUERIES = {
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op10_token_shards": op10_token_shards,
     "op2_quality_rules": op2_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
