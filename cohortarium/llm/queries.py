@@ -52,7 +52,14 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pages import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op3_html_extraction": op3_html_extraction,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op10_token_shards": op10_token_shards,
     "op2_quality_rules": op2_quality_rules,
