@@ -58,7 +58,14 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op3_html_extraction": op3_html_extraction,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op10_token_shards": op10_token_shards,
