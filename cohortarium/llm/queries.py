@@ -64,7 +64,14 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_substring_dedup": op5_substring_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op3_html_extraction": op3_html_extraction,
     "op7_ngram_jaccard": op7_ngram_jaccard,
