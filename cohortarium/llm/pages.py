@@ -7,8 +7,9 @@ longest common subsequence, and shared lines outside the article are deleted: wh
 site's, what they don't is the page's. Lines inside an article element are the page's own by its own word, also where
 a copy of the article stands next to it, so differencing leaves them.
 
-Neighbours are found without a window over a host: the pages are range-partitioned and numbered through, and runs of
-consecutive numbers go to one task with one page beyond either end.
+Neighbours are found without a window over a host: the URLs alone are sorted, every so many of them a run begins, and
+the pages are dealt to runs by bisection; the pages at a run's ends also go to the run beside it. So a host of any
+size is spread over tasks, a page is shuffled once, and a task holds three pages at a time.
 
 Defined results: a null or empty html has the empty text; a null url is of the empty host and path; pages with equal
 URLs stand in the order of page_id; repeated rows are pages of their own; an empty table gives no rows; extra columns
@@ -19,17 +20,18 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import by_batch, small_batches
 
-#: Pages that one task compares at a time.
-RUN = 64
+#: Runs of pages for each shuffle partition.
+RUNS = 4
 
 # Element names by what they do to text.
 SKIP = frozenset("script style noscript template iframe svg math canvas object select textarea button form nav footer aside menu dialog audio video head".split())
@@ -180,57 +182,80 @@ def host_and_path(url):
     return host, path
 
 
+def _key(host: str, path: str, url: str | None, page_id: int | None) -> tuple:
+    """As Spark sorts: nulls first, strings by code points."""
+    return (host, path, url is not None, url or "", page_id is not None, page_id or 0)
+
+
+def run_ends(keys: DataFrame, size: int) -> list[tuple[tuple, tuple]]:
+    """(first key, last key) of every run of ``size`` pages or fewer, in order; keys: host, path, url, page_id."""
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, first, last, out = TaskContext.get().partitionId(), 0, None, None, []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if n % size == 0:
+                    if first:
+                        out.append((part, *first, *last))
+                    first = row
+                last, n = row, n + 1
+        if first:
+            out.append((part, *first, *last))
+        if out:
+            kinds = (pa.int64(), *(pa.string(), pa.string(), pa.string(), pa.int64()) * 2)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    names = ["part", *(f"{c}{k}" for k in (0, 1) for c in ("host", "path", "url", "page_id"))]
+    order = ["host", "path", "url", "page_id"]
+    found = keys.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(ends, "part long, " + ", ".join(f"host{k} string, path{k} string, url{k} string, page_id{k} long" for k in (0, 1))).collect()  # a row a run
+    out = [(_key(*r[1:5]), _key(*r[5:9])) for r in found]
+    return sorted(out)
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
     spark = pages.sparkSession
     small_batches(spark)
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"), path.alias("path"))
+    runs = RUNS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = spark.sparkContext.broadcast(run_ends(rows, max(16, -(-pages.count() // runs))))  # about ``runs`` rows
+
+    def deal(b: pa.RecordBatch) -> pa.RecordBatch:
+        firsts, lasts = [x[0] for x in shared.value], [x[1] for x in shared.value]
+        take, to, own = [], [], []
+        for i, row in enumerate(zip(*(b.column(c).to_pylist() for c in ("host", "path", "url", "page_id")), strict=True)):
+            key = _key(*row)
+            p = max(0, bisect_right(firsts, key) - 1)
+            beside = [p - 1] * (p > 0 and key == firsts[p]) + [p + 1] * (p + 1 < len(firsts) and key == lasts[p])
+            take += [i] * (1 + len(beside))
+            to += [p, *beside]
+            own += [True] + [False] * len(beside)
+        b = b.take(pa.array(take, pa.int64()))
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(to, pa.int64()), pa.array(own, pa.bool_())], [*b.schema.names, "run", "own"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come run by run in order; three pages are held."""
+        before = page = None
+
+        def settled(after: tuple | None) -> Iterator[tuple]:
+            if page and page[1]:
+                yield page[2], page[3], main_text(page[5], [x[5] for x in (before, after) if x and x[0] == page[0] and x[4] == page[4]])
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), 0
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int64()), pa.array(range(n, n + b.num_rows), pa.int64())], [*b.schema.names, "part", "nth"])
-            n += b.num_rows
-
-    ordered = rows.repartitionByRange("host", "path", "url", "page_id").sortWithinPartitions("host", "path", "url", "page_id")
-    ordered = written(ordered.select("page_id", "url", "html", "host").mapInArrow(number, "page_id long, url string, html string, host string, part long, nth long"), "pages")
-    # runs of RUN pages inside a partition; the pages at a run's ends also go to the run beside it
-    run = F.floor(F.col("nth") / RUN)
-    last = ordered.groupBy("part").agg(F.max("nth").alias("last"))  # a row a partition
-    ends = last.select("part", F.floor(F.col("last") / RUN).alias("last_run"))
-    beside = ends.withColumn("before", F.lag("part").over(Window.orderBy("part"))).withColumn("after", F.lead("part").over(Window.orderBy("part"))).withColumn("before_run", F.lag("last_run").over(Window.orderBy("part")))
-    numbered = ordered.withColumn("run", run).join(F.broadcast(beside.join(last, "part")), "part")  # as many rows as partitions
-    place = lambda p, r, shown: F.struct(F.col(p).alias("p") if isinstance(p, str) else p.alias("p"), r.cast("long").alias("r"), F.lit(shown).alias("own"))
-    none = F.lit(None).cast("struct<p:bigint,r:bigint,own:boolean>")
-    left = F.when(F.col("nth") % RUN == 0, F.when(F.col("run") > 0, place("part", F.col("run") - 1, False)).when(F.col("before").isNotNull(), place("before", F.col("before_run"), False))).otherwise(none)
-    right = F.when((F.col("nth") % RUN == RUN - 1) & (F.col("nth") < F.col("last")), place("part", F.col("run") + 1, False)).when((F.col("nth") == F.col("last")) & F.col("after").isNotNull(), place("after", F.lit(0), False)).otherwise(none)
-    dealt = numbered.withColumn("to", F.explode(F.filter(F.array(place("part", F.col("run"), True), left, right), lambda x: x.isNotNull())))
-    dealt = dealt.select(F.col("to.p").alias("p"), F.col("to.r").alias("r"), F.col("to.own").alias("own"), "part", "nth", "page_id", "url", "host", "html")
-
-    def compare(group: list[tuple]) -> Iterator[tuple]:
-        parsed = [(host, lines(page) if page else []) for *_, host, page in group]
-        for i, (own, page_id, url, host, _) in enumerate(group):
-            if own:
-                near = [parsed[k][1] for k in (i - 1, i + 1) if 0 <= k < len(group) and parsed[k][0] == host]
-                yield page_id, url, main_text(parsed[i][1], near)
-
-    def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, []
         for b in batches:
             out = []
-            for p, r, own, page_id, url, host, page in zip(*(b.column(c).to_pylist() for c in ("p", "r", "own", "page_id", "url", "host", "html")), strict=True):
-                if (p, r) != now:
-                    out += compare(group)
-                    now, group = (p, r), []
-                group.append((own, page_id, url, host, page))
+            for run, own, page_id, url, host, html in zip(*(b.column(c).to_pylist() for c in ("run", "own", "page_id", "url", "host", "html")), strict=True):
+                after = (run, own, page_id, url, host, lines(html) if html else [])
+                out += settled(after)
+                before, page = page, after
             if out:
                 yield _texts(out)
-        if group:
-            yield _texts(list(compare(group)))
+        if out := list(settled(None)):
+            yield _texts(out)
 
-    sorted_runs = dealt.repartition("p", "r").sortWithinPartitions("p", "r", "part", "nth").select("p", "r", "own", "page_id", "url", "host", "html")
-    return sorted_runs.mapInArrow(run_all, "page_id long, url string, text string, n_chars long")
+    dealt = by_batch(rows, deal, "page_id long, url string, html string, host string, path string, run long, own boolean")
+    dealt = dealt.repartition("run").sortWithinPartitions("run", "host", "path", "url", "page_id", "html")
+    return dealt.select("run", "own", "page_id", "url", "host", "html").mapInArrow(compare, "page_id long, url string, text string, n_chars long")
 
 
 def _texts(out: list[tuple]) -> pa.RecordBatch:
