@@ -114,8 +114,8 @@ def token_pieces(documents: DataFrame, tokenizer: str | None = None, end: int =
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         enc, rows, kept = encoder(path, "words"), [], []
         stop = np.array([end], "<u2").tobytes()
-        for doc_id, text in zip(b.column("doc_id").to_pylist(), texts(b.column("text")), strict=True):
-            ids = np.frombuffer(enc.ids(text) + stop, "<u2")
+        for doc_id, data in zip(b.column("doc_id").to_pylist(), enc.ids(texts(b.column("text"))), strict=True):
+            ids = np.frombuffer(data + stop, "<u2")
             for k in range(0, len(ids), room):
                 cut = ids[k : k + room]
                 rows.append((doc_id, k // room, k, len(cut), zlib.crc32(cut.astype("<u4").tobytes())))

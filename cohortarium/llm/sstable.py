@@ -175,11 +175,11 @@ def write_shards(documents: DataFrame, path: str, tokenizer: str | None = None,
         file = f"{path}/{shard:06d}-{uuid.uuid4().hex}.sst"  # a task that runs again writes a file of its own
         fs, place = filesystem(file)
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), texts(b.column("text")), strict=True):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.ids(texts(b.column("text"))), strict=True):
                 if writer is None:
                     sink = fs.open_output_stream(place)
                     writer = Writer(sink)
-                writer.put(key_of(doc_id), enc.ids(text) + stop)
+                writer.put(key_of(doc_id), ids + stop)
         if writer:
             writer.close()
             sink.close()
@@ -190,8 +190,8 @@ def write_shards(documents: DataFrame, path: str, tokenizer: str | None = None,
     return made.withColumn("base", F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens"))  # a row a shard
 
 
-def read_shards(spark: SparkSession, shards: DataFrame) -> DataFrame:
-    """Per document, read from the files: doc_id, start, n_tokens, ids (little-endian 16-bit)."""
+def read_shards(spark: SparkSession, shards: DataFrame, digests: bool = False) -> DataFrame:
+    """Per document, read from the files: doc_id, start, n_tokens, and ids (little-endian 16-bit) or their ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,9 +202,11 @@ def read_shards(spark: SparkSession, shards: DataFrame) -> DataFrame:
                     for i in range(len(reader.index)):
                         keys, ids = zip(*reader.block(i), strict=True)
                         n = np.array([len(x) // 2 for x in ids], np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array([id_of(k) for k in keys], pa.int64()), pa.array(base + reader.index[i][4] + np.cumsum(n) - n), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                        last = pa.array([zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in ids], pa.int64()) if digests else pa.array(ids, pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array([id_of(k) for k in keys], pa.int64()), pa.array(base + reader.index[i][4] + np.cumsum(n) - n), pa.array(n), last], names)
 
-    return shards.select("file", "base").repartition(max(1, shards.count()), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    names = ["doc_id", "start", "n_tokens", "ids_crc32" if digests else "ids"]
+    return shards.select("file", "base").repartition(max(1, shards.count()), "file").mapInArrow(run, f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digests else 'ids binary'}")
 
 
 def lookup(shards: DataFrame, doc_id: int) -> bytes | None:
@@ -221,11 +223,4 @@ def round_trip(documents: DataFrame, tokenizer: str | None = None, end: int = 0)
     """Writes documents to new shards and gives, read from them: doc_id, start, n_tokens, ids_crc32."""
     spark = documents.sparkSession
     shards = write_shards(documents, new_path(spark, "sstables"), tokenizer, end)
-    small_batches(spark)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crc = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_shards(spark, shards).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_shards(spark, shards, digests=True)

@@ -1,24 +1,33 @@
 """Token ids of whole texts, exactly as the tokenizers library gives them, remembered by chunk.
 
-Both tokenizers cut a text into pre-tokens before they merge anything, and no pre-token holds a white-space sign
-after another sign. A text may therefore be cut before every run of ASCII white space; each chunk is encoded by the
-library once and remembered in a bounded cache. Texts with other white space are encoded whole. Strings of special
-tokens inside a text are ordinary text.
+Both tokenizers cut a text into pre-tokens before they merge anything. No pre-token holds white space after another
+sign, and none goes from a letter or digit to an ASCII sign that is neither. A text may therefore be cut before every
+run of ASCII white space, and after a first run of Latin letters and digits that an ASCII sign follows. Each chunk is
+encoded by the library once and remembered in a bounded cache. Texts with other white space, or not in NFC, are
+encoded whole. Strings of special tokens inside a text are ordinary text.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 
 import numpy as np
 
-from .common import Bounded
+from .common import WHITE
 
-_CHUNK = re.compile("[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+")
 #: Code points of white space beyond ASCII (fixed values), and of the four ASCII separators that some libraries count.
 _CODES = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
 _OTHER_WHITE = re.compile("[" + "".join(map(chr, _CODES)) + "]")
+#: ASCII letters and digits, and the blocks of Latin letters up to the phonetic ones; without the capital I with a dot,
+#: which becomes two signs in lower case.
+_LATIN = "0-9A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x12F), (0x131, 0x2AF)))
+_RUN = rf"[{_LATIN}]++(?=[!-/:-@\[-`{{-~{WHITE}]|\Z)"
+_CHUNK = re.compile(rf"[{WHITE}]*+{_RUN}|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+_WORD = re.compile(rf"{_RUN}|[^{WHITE}]+")
+#: Chunks that the library gets at a time, joined; chunks remembered at most.
+_JOINED, _REMEMBERED = 512, 600_000
 
 
 def default_path(name: str) -> str:
@@ -28,10 +37,10 @@ def default_path(name: str) -> str:
 
 
 class Encoder:
-    """ids(text): the text's token ids as little-endian unsigned 16-bit bytes; one per Python worker.
+    """ids(texts): each text's token ids as little-endian unsigned 16-bit bytes; one encoder a Python worker.
 
-    chunks 'runs' keeps the white space before each chunk (byte-level vocabularies); 'words' drops it (vocabularies
-    whose pre-tokenizer drops white space).
+    chunks 'runs' keeps the white space before each chunk (byte-level vocabularies, whose tokens show a space before
+    them); 'words' drops it (vocabularies whose pre-tokenizer drops white space and whose tokens show a word's end).
     """
 
     def __init__(self, path: str, chunks: str = "runs"):
@@ -43,18 +52,44 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary must fit 16 bits")
         self.words = chunks == "words"
-        self.cache = Bounded(self._encode)
-
-    def _encode(self, chunks: list) -> list[bytes]:
-        said = [c.decode() for c in chunks] if self.words else chunks
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(said, add_special_tokens=False)]
-
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _OTHER_WHITE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        return b"".join(self.cache.get_all(text.encode().split() if self.words else _CHUNK.findall(text)))
+        self.split = (_WORD if self.words else _CHUNK).findall
+        #: Ids that end a word, or that begin with a space.
+        self.edge = np.zeros(1 << 16, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.edge[i] = token.endswith("</w>") if self.words else token.startswith("Ġ")
+        self.cache: dict[str, bytes] = {}
+
+    def _one_by_one(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        """Chunks that the ids show the edges of go to the library joined."""
+        plain = [c.isalpha() if self.words else c[0] == " " and c[1:].isalnum() for c in chunks]
+        joined = [c for c, p in zip(chunks, plain, strict=True) if p]
+        parts = [joined[k : k + _JOINED] for k in range(0, len(joined), _JOINED)]
+        texts = [(" " if self.words else "").join(p) for p in parts]
+        found: list[bytes] = []
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u2")
+            edges = np.flatnonzero(self.edge[ids])
+            cuts = [0, *(edges + 1)] if self.words else [*edges, len(ids)]
+            data = ids.tobytes()
+            each = [data[2 * i : 2 * j] for i, j in zip(cuts, cuts[1:], strict=False)]
+            found += each if len(each) == len(part) else self._one_by_one(part)
+        others = iter(self._one_by_one([c for c, p in zip(chunks, plain, strict=True) if not p]))
+        same = iter(found)
+        return [next(same) if p else next(others) for p in plain]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        odd = [bool(_OTHER_WHITE.search(t)) or not unicodedata.is_normalized("NFC", t) for t in texts]
+        chunks = [() if o else self.split(t) for t, o in zip(texts, odd, strict=True)]
+        wanted = set().union(*chunks)
+        if len(self.cache) + len(wanted) > _REMEMBERED:
+            self.cache.clear()
+        missing = list(wanted.difference(self.cache))
+        self.cache.update(zip(missing, self._encode(missing), strict=True))
+        get = self.cache.__getitem__
+        return [self._one_by_one([t])[0] if o else b"".join(map(get, c)) for t, c, o in zip(texts, chunks, odd, strict=True)]
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
