@@ -41,6 +41,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # shuffle files of what is now written go when the driver's JVM collects
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -86,18 +87,14 @@ class Bounded(dict):
         super().__init__()
         self.make, self.most = make, most
 
-    def fill(self, keys: list) -> None:
-        missing = [k for k in dict.fromkeys(keys) if k not in self]
-        if len(self) + len(missing) > self.most:
-            self.clear()
-            missing = list(dict.fromkeys(keys))
-        if missing:
-            self.update(zip(missing, self.make(missing)))
-
     def get_all(self, keys: list) -> list:
         out = list(map(self.get, keys))
         if None in out:
-            self.fill(keys)
+            missing = list(dict.fromkeys(k for k, v in zip(keys, out, strict=True) if v is None))
+            if len(self) + len(missing) > self.most:
+                self.clear()
+                missing = list(dict.fromkeys(keys))
+            self.update(zip(missing, self.make(missing), strict=True))
             out = list(map(self.__getitem__, keys))
         return out
 
@@ -123,21 +120,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def hash_words(words: list[bytes]) -> list[int]:
+def hash_words(words: list[bytes]) -> np.ndarray:
+    """xxHash64 of each word."""
     import xxhash
 
-    digest = xxhash.xxh64_intdigest
-    return [digest(w) for w in words]
-
-
-class WordHashes:
-    """xxHash64 of words, remembered between batches."""
-
-    def __init__(self, most: int = 400_000):
-        self.cache = Bounded(hash_words, most)
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        return np.array(self.cache.get_all(words), np.uint64) if words else np.empty(0, np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

@@ -4,9 +4,9 @@ The graph's edges are the windows of WIDTH consecutive words. Only edges that ca
 the smallest hash among the SEED-word sequences in it, equal windows have equal seeds, and a seed that occurs in one
 document only rules its windows out. Edges that follow each other and share a seed form a path without a branch
 between two nodes that the words themselves define; it is compacted into one piece, known by a hash of its whole
-sequence and by its first edge. Joins of the pieces find, for each, its source: the smallest document that has it.
-A copy of a piece is covered from end to end. At its source, where a piece may share some edges only (a passage that
-begins or ends inside it), the edges are joined one by one with the smallest document that has them. Neighbouring
+sequence and by its seed. Joins of the pieces find, for each, its source: the smallest document that has it. A copy
+of a piece is covered from end to end. Pieces that differ share edges only if they share their seed (a passage that
+begins or ends inside them): there, the edges are joined one by one with the smallest document that has them. Neighbouring
 covered edges become spans of source coordinates, and the words are taken out of the texts.
 
 Defined results: a null or empty text has no words; a text of fewer words than a window keeps all; repeated rows of
@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, hash_words, mixed, sliding_min, small_batches, window_hashes, word_lists, written
+from .common import by_batch, hash_words, mixed, sliding_min, window_hashes, word_lists, written
+from .membership import bit_places, bits_of, has_bits, with_bits
 
-WIDTH, SEED = 13, 5
+WIDTH, SEED = 13, 7
 #: Bits of the bitmap of repeated seeds that a scan is told; what it lets through wrongly, the joins drop.
-SEED_BITS, CHUNKS = 1 << 26, 64
+SEED_BITS = 1 << 26
 
 
 def seeds_of(words: np.ndarray, width: int, seed: int) -> np.ndarray:
@@ -38,46 +39,6 @@ def seeds_of(words: np.ndarray, width: int, seed: int) -> np.ndarray:
     return sliding_min(window_hashes(words, seed), width - seed + 1)
 
 
-def bits_of(rows: DataFrame, column: str, bits: int) -> bytes:
-    """A bitmap of a fixed number of bits with those set that the values of a long column hash to."""
-    small_batches(rows.sparkSession)
-    width = bits // CHUNKS
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(bits // 8, np.uint8)
-        some = False
-        for b in batches:
-            at = np.unique(bit_places(b.column(0), bits))
-            np.bitwise_or.at(seen, at >> 3, (1 << (at & 7)).astype(np.uint8))
-            some = some or len(at) > 0
-        if some:
-            for k in range(CHUNKS):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([seen[k * width // 8 : (k + 1) * width // 8].tobytes()], pa.binary())], ["chunk", "bits"])
-
-    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, data in zip(b.column("chunk").to_pylist(), b.column("bits").to_pylist(), strict=True):
-                x = np.frombuffer(data, np.uint8)
-                found[k] = x | found[k] if k in found else x
-        for k, x in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["chunk", "bits"])
-
-    out = np.zeros(bits // 8, np.uint8)
-    few = rows.select(column).coalesce(16).mapInArrow(place, "chunk int, bits binary")
-    for r in few.repartition("chunk").mapInArrow(either, "chunk int, bits binary").toLocalIterator():  # CHUNKS rows
-        out[r["chunk"] * width // 8 : (r["chunk"] + 1) * width // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out.tobytes()
-
-
-def bit_places(values: pa.Array, bits: int) -> np.ndarray:
-    return (mixed(values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
-
-
-def has_bits(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return (bitmap[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
-
-
 def _docs(documents: DataFrame) -> DataFrame:
     return documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
 
@@ -100,14 +61,14 @@ def repeated_seeds(documents: DataFrame, width: int, seed: int) -> DataFrame:
 
 
 def pieces(documents: DataFrame, seeds: DataFrame, width: int, seed: int) -> DataFrame:
-    """Compacted paths whose seed may repeat: doc_id, text_key, start, piece (hash of the sequence), edges."""
+    """Compacted paths whose seed may repeat: doc_id, text_key, start, piece (hash of the sequence), seed, edges."""
     shared = documents.sparkSession.sparkContext.broadcast(bits_of(seeds, "seed", SEED_BITS))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
         import xxhash
 
         bitmap = np.frombuffer(shared.value, np.uint8)
-        docs, keys, starts, found, edges = [], [], [], [], []
+        docs, keys, starts, found, seeds, edges = [], [], [], [], [], []
         for doc_id, words in zip(b.column("doc_id").to_pylist(), word_lists(b.column("text")), strict=True):
             if len(words) < width:
                 continue
@@ -125,11 +86,12 @@ def pieces(documents: DataFrame, seeds: DataFrame, width: int, seed: int) -> Dat
                 starts.append(a)
                 found.append(xxhash.xxh64_intdigest(edge[a:z].tobytes()))
                 edges.append(edge[a:z].view(np.int64))
+            seeds.append(s[first[known]])
         if not docs:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(edges, pa.list_(pa.int64()))], ["doc_id", "text_key", "start", "piece", "edges"])
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(np.concatenate(seeds).view(np.int64)), pa.array(edges, pa.list_(pa.int64()))], ["doc_id", "text_key", "start", "piece", "seed", "edges"])
 
-    return by_batch(_docs(documents).filter("doc_id is not null"), run, "doc_id long, text_key long, start int, piece long, edges array<long>")
+    return by_batch(_docs(documents).filter("doc_id is not null"), run, "doc_id long, text_key long, start int, piece long, seed long, edges array<long>")
 
 
 def text_key(words: np.ndarray) -> int:
@@ -145,16 +107,18 @@ def covered(documents: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataF
     """
     seeds = written(repeated_seeds(documents, width, seed), "seeds")
     all_pieces = written(pieces(documents, seeds, width, seed), "pieces")
-    key = [F.col("piece"), F.get("edges", F.lit(0)).alias("first_edge")]
+    key = ["piece", "seed"]
     places = all_pieces.select("doc_id", "text_key", "start", F.size("edges").alias("n_windows"), *key)
-    sources = written(all_pieces.select("doc_id", *key, "edges").groupBy("piece", "first_edge").agg(F.min("doc_id").alias("source_doc"), F.first("edges").alias("edges")), "sources")
-    copies = places.join(sources.select("piece", "first_edge", "source_doc"), ["piece", "first_edge"])
+    sources = written(all_pieces.groupBy(*key).agg(F.min("doc_id").alias("source_doc"), F.max("doc_id").alias("last")), "sources")
+    copies = places.join(sources.filter("source_doc != last").select(*key, "source_doc"), key)
     whole = copies.filter("doc_id > source_doc").select("doc_id", "text_key", "start", "n_windows", "source_doc")
-    # at its source a piece may share some edges only
-    edges = sources.select("piece", "first_edge", F.col("source_doc").alias("doc_id"), F.posexplode("edges").alias("i", "edge"))
-    least = edges.groupBy("edge").agg(F.min("doc_id").alias("source_doc"), F.max("doc_id").alias("last")).filter("source_doc != last").select("edge", "source_doc")
-    partly = edges.join(least, "edge").filter("doc_id > source_doc").select("piece", "first_edge", "i", "doc_id", "source_doc")
-    partly = partly.join(places, ["piece", "first_edge", "doc_id"]).select("doc_id", "text_key", (F.col("start") + F.col("i")).alias("start"), F.lit(1).alias("n_windows"), "source_doc")
+    # different pieces of one seed, at their sources
+    several = written(sources.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "several")
+    own = with_bits(all_pieces, "seed", several, "seed", SEED_BITS).join(several, "seed", "left_semi")
+    own = own.join(sources.select(*key, F.col("source_doc").alias("doc_id")), [*key, "doc_id"], "left_semi").select("doc_id", "text_key", "start", "edges")
+    edges = written(own.select("doc_id", "text_key", "start", F.posexplode("edges").alias("i", "edge")).select("doc_id", "text_key", (F.col("start") + F.col("i")).alias("start"), "edge"), "edges")
+    least = written(edges.groupBy("edge").agg(F.min("doc_id").alias("source_doc"), F.max("doc_id").alias("last")).filter("source_doc != last").select("edge", "source_doc"), "least")
+    partly = with_bits(edges, "edge", least, "edge", SEED_BITS).join(least, "edge").filter("doc_id > source_doc").select("doc_id", "text_key", "start", F.lit(1).alias("n_windows"), "source_doc")
     return whole.unionByName(partly)
 
 
