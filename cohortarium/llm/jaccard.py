@@ -25,30 +25,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, by_batch, mixed, small_batches, window_hashes, word_lists, written
+from .common import by_batch, hash_words, mixed, small_batches, window_hashes, written
 from .components import components
+from .membership import one_row_an_id, only_ids, without_ids
 
 #: Hashed counters that order shingles, and their parts.
 COUNTERS, CHUNKS = 1 << 18, 64
 #: Documents of one block of a tile, about; a task compares two blocks.
 BLOCK = 512
-#: Bits of the membership bitmap that spares a scan from looking at documents no pair names. A false positive costs time only.
-MEMBER_BITS = 1 << 23
 
 
-class Shingles:
-    """Sorted distinct 64-bit hashes of a document's shingles."""
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of lower-case words."""
+    if not words:
+        return np.empty(0, np.uint64)
+    h = hash_words(words)
+    if len(h) < width:
+        return mixed(window_hashes(h, len(h)) + np.uint64(len(h)))
+    return np.unique(window_hashes(h, width))
 
-    def __init__(self, width: int):
-        self.width, self.hashes = width, WordHashes()
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if not words:
-            return np.empty(0, np.uint64)
-        h = self.hashes([w.lower() for w in words])
-        if len(h) < self.width:
-            return mixed(window_hashes(h, len(h)) + np.uint64(len(h)))
-        return np.unique(window_hashes(h, self.width))
+def lower_words(column: pa.Array) -> Iterator[list[bytes]]:
+    """word_lists, with A-Z in lower case."""
+    for x in column.cast(pa.binary()).to_pylist():
+        yield x.lower().split() if x else []
 
 
 def _docs(documents: DataFrame) -> DataFrame:
@@ -88,12 +88,12 @@ def sets_and_counts(documents: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        make, counts = Shingles(width), np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(COUNTERS, np.int64)
         names = ["doc_id", "n", "key", "chunk", "counts"]
         for b in batches:
             n, keys, seen = [], [], []
-            for words in word_lists(b.column("text")):
-                s = make(words)
+            for words in lower_words(b.column("text")):
+                s = shingle_hashes(words, width)
                 seen.append((s & np.uint64(COUNTERS - 1)).astype(np.int64))
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -129,11 +129,11 @@ def prefixes(documents: DataFrame, counts: np.ndarray, width: int, percent: int)
     small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, often = Shingles(width), shared.value
+        often = shared.value
         for b in batches:
             ids, n, tokens, bits = [], [], [], []
-            for doc_id, words in zip(b.column("doc_id").to_pylist(), word_lists(b.column("text")), strict=True):
-                s = make(words)
+            for doc_id, words in zip(b.column("doc_id").to_pylist(), lower_words(b.column("text")), strict=True):
+                s = shingle_hashes(words, width)
                 if not len(s):
                     continue
                 first = len(s) - -(-percent * len(s) // 100) + 1
@@ -147,48 +147,6 @@ def prefixes(documents: DataFrame, counts: np.ndarray, width: int, percent: int)
     return _docs(documents).mapInArrow(run, "doc_id long, n long, tokens array<long>, bits binary")
 
 
-def member_bitmap(ids: DataFrame) -> bytes:
-    """MEMBER_BITS bits, a fixed number, of which those that ids (id: long) hash to are set."""
-    small_batches(ids.sparkSession)
-    width = MEMBER_BITS // CHUNKS
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(MEMBER_BITS, np.uint8)
-        for b in batches:
-            seen[_member(b.column("id"))] = 1
-        if seen.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([np.packbits(seen[k * width : (k + 1) * width]).tobytes() for k in range(CHUNKS)], pa.binary())], ["chunk", "bits"])
-
-    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, data in zip(b.column("chunk").to_pylist(), b.column("bits").to_pylist(), strict=True):
-                x = np.frombuffer(data, np.uint8)
-                found[k] = x | found[k] if k in found else x
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["chunk", "bits"])
-
-    out = np.zeros((CHUNKS, width // 8), np.uint8)
-    for r in ids.select("id").mapInArrow(place, "chunk int, bits binary").repartition("chunk").mapInArrow(either, "chunk int, bits binary").collect():  # CHUNKS rows
-        out[r["chunk"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out.tobytes()
-
-
-def _member(ids: pa.Array) -> np.ndarray:
-    return (mixed(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(MEMBER_BITS - 1)).astype(np.int64)
-
-
-def only_members(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the documents whose ids are in ids (id: long, distinct); most others never leave their scan."""
-    shared = documents.sparkSession.sparkContext.broadcast(member_bitmap(ids))
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        i = _member(b.column("doc_id"))
-        return b.filter(pa.array(np.frombuffer(shared.value, np.uint8)[i >> 3] >> (7 - (i & 7)) & 1 == 1))
-
-    return by_batch(_docs(documents).filter("doc_id is not null"), run, "doc_id long, text string").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-
-
 def bounded_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the bitmaps in sets (doc_id, n, bits) don't rule out."""
     side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
@@ -206,15 +164,14 @@ def bounded_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def verified(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sorted sets link: 100 x intersection >= percent x union."""
     pairs = written(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(width)
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingles(w).tobytes() for w in word_lists(b.column("text"))], pa.binary())], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingle_hashes(w, width).tobytes() for w in lower_words(b.column("text"))], pa.binary())], ["doc_id", "shingles"])
 
-    sets = written(only_members(documents, ids).mapInArrow(make, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+    sets = written(only_ids(_docs(documents).filter("doc_id is not null"), ids).mapInArrow(make, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -233,10 +190,14 @@ def tile_pairs(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     tiles: token, doc_id, n, cluster, leader, in_tile (documents of the tile).
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("long")
+    # sizes of linked sets differ by 100 / percent at most, so their bands are the same or neighbours; the slack outweighs rounding
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent * 1.0001)).cast("long")
     rows = tiles.withColumn("band", band).withColumn("blocks", F.ceil(F.col("in_tile") / BLOCK).cast("int"))
-    # a band meets itself and the next larger one, whose documents are guests; floor may err by one at a band's edge: two more
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("guest")).withColumn("band", F.col("band") - F.col("guest"))
+    # a band meets itself and the next larger one, whose documents are its guests
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("guest")).withColumn("band", F.col("band") - F.col("guest"))
+    # bands of a tile in which nobody of another cluster can be met go before anything is dealt out
+    met = rows.groupBy("token", "band").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.min("guest").alias("host")).filter("lo != hi and host = 0")
+    rows = rows.join(met.select("token", "band"), ["token", "band"])
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     rows = rows.withColumn("mine", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     # hosts stand in row "mine", guests in column "mine"; hosts also stand in columns, to meet each other once
@@ -302,3 +263,10 @@ def near_duplicates(documents: DataFrame, width: int = 3, percent: int = 90) ->
     same = classes.join(firsts, "key").filter("doc_id != first").select(F.col("first").alias("u"), F.col("doc_id").alias("v"))
     final = components(links.unionByName(links2).unionByName(same))
     return classes.join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """documents with one of each group of near duplicates: the one of the smallest id. Rows of one id are one group."""
+    found = near_duplicates(documents, width, percent)
+    gone = written(found.filter("doc_id != component_id").select("doc_id").distinct(), "gone")
+    return one_row_an_id(without_ids(documents, gone))
