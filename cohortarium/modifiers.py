@@ -1,0 +1,155 @@
+"""Changes of whole cohorts. Each takes a cohort and gives a new one."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from .model import (
+    Bound,
+    Cohort,
+    Collapse,
+    Concept,
+    Correlated,
+    Criterion,
+    CustomEra,
+    DateOffset,
+    Demographic,
+    Group,
+    Occurrence,
+    Period,
+    Primary,
+    Range,
+    Rule,
+    Window,
+)
+
+#: Names of the rules that modifiers make, so that they can be set again and taken back.
+AGE_RULE, GENDER_RULE, CLEAN_RULE, WASHOUT_RULE = "__age__", "__gender__", "__clean_window__", "__washout__"
+
+
+def _primary(c: Cohort, **changes) -> Cohort:
+    return replace(c, primary=replace(c.primary or Primary(), **changes))
+
+
+def _set_rule(c: Cohort, rule: Rule) -> Cohort:
+    return c.remove_rule(rule.name).add_rule(rule)
+
+
+def _days(n: int) -> int:
+    if n < 0:
+        raise ValueError("days can't be negative")
+    return n
+
+
+def set_prior_observation(c: Cohort, days: int) -> Cohort:
+    return _primary(c, prior_days=_days(days), has_window=True)
+
+
+def set_post_observation(c: Cohort, days: int) -> Cohort:
+    return _primary(c, post_days=_days(days), has_window=True)
+
+
+def reset_observation_window(c: Cohort) -> Cohort:
+    return _primary(c, prior_days=0, post_days=0, has_window=False)
+
+
+def set_limit_to_first_event(c: Cohort) -> Cohort:
+    return replace(_primary(c, limit="First"), qualified_limit="First", expression_limit="First")
+
+
+def set_allow_all_events(c: Cohort) -> Cohort:
+    return replace(_primary(c, limit="All"), qualified_limit="All", expression_limit="All")
+
+
+def set_cohort_era(c: Cohort, days: int) -> Cohort:
+    return replace(c, collapse=Collapse("ERA", _days(days)))
+
+
+def reset_collapse_settings(c: Cohort) -> Cohort:
+    return replace(c, collapse=Collapse())
+
+
+def set_age_criteria(c: Cohort, low: int | None = None, high: int | None = None) -> Cohort:
+    if low is None and high is None:
+        raise ValueError("an age is needed")
+    if low is not None and high is not None and low > high:
+        raise ValueError("the ages are the wrong way round")
+    age = Range("bt", low, high) if low is not None and high is not None else Range("gte", low) if low is not None else Range("lte", high)
+    return _set_rule(c, Rule(AGE_RULE, "age at entry", Group("ALL", demographics=(Demographic(age=age),))))
+
+
+def reset_age_criteria(c: Cohort) -> Cohort:
+    return c.remove_rule(AGE_RULE)
+
+
+#: Gender concepts.
+GENDERS = {"male": Concept(8507, "MALE", domain_id="Gender", vocabulary_id="Gender"), "female": Concept(8532, "FEMALE", domain_id="Gender", vocabulary_id="Gender")}
+
+
+def set_gender_criteria(c: Cohort, *genders: str | int | Concept) -> Cohort:
+    listed = tuple(g if isinstance(g, Concept) else GENDERS[g.lower()] if isinstance(g, str) else Concept(g) for g in genders)
+    if not listed:
+        raise ValueError("a gender is needed")
+    return _set_rule(c, Rule(GENDER_RULE, "gender", Group("ALL", demographics=(Demographic(gender=listed),))))
+
+
+def reset_gender_criteria(c: Cohort) -> Cohort:
+    return c.remove_rule(GENDER_RULE)
+
+
+def set_end_date_strategy(c: Cohort, strategy: str = "observation_period", offset: int = 0, codeset_id: int | None = None, gap_days: int = 30) -> Cohort:
+    """observation_period, start_date, end_date (with an offset), or drug_era (of a concept set)."""
+    made = {"observation_period": None, "start_date": DateOffset("StartDate", offset), "end_date": DateOffset("EndDate", offset), "drug_era": CustomEra(codeset_id, gap_days, offset)}
+    if strategy not in made:
+        raise ValueError(f"unknown end strategy {strategy!r}")
+    if strategy == "drug_era" and codeset_id is None:
+        raise ValueError("a drug era needs a concept set")
+    return replace(c, end_strategy=made[strategy])
+
+
+def reset_end_strategy(c: Cohort) -> Cohort:
+    return replace(c, end_strategy=None)
+
+
+def _none_before(criteria: tuple[Criterion, ...], days: int) -> tuple[Correlated, ...]:
+    window = Window(Bound(-1, days), Bound(-1, 1), False, False)
+    return tuple(Correlated(replace(x.with_(), attributes=tuple(a for a in x.attributes if a[0] != "first")), window, occurrence=Occurrence(0, 0)) for x in criteria)
+
+
+def set_clean_window(c: Cohort, days: int, mode: str = "any") -> Cohort:
+    """No entry event of any kind (or, for "all", not of every kind) in the days before."""
+    if mode not in ("any", "all"):
+        raise ValueError("mode is any or all")
+    return _set_rule(c, Rule(CLEAN_RULE, f"no entry event in the {_days(days)} days before", Group("ALL" if mode == "any" else "ANY", criteria=_none_before((c.primary or Primary()).criteria, days))))
+
+
+def reset_clean_window(c: Cohort) -> Cohort:
+    return c.remove_rule(CLEAN_RULE)
+
+
+def set_washout_period(c: Cohort, days: int) -> Cohort:
+    """Days of observation before the entry event, and the first event only."""
+    return _primary(set_prior_observation(c, days), limit="First")
+
+
+def set_date_range(c: Cohort, start: str | None = None, end: str | None = None) -> Cohort:
+    if start and end and start > end:
+        raise ValueError("the dates are the wrong way round")
+    return replace(c, censor_window=Period(start, end) if start or end else None)
+
+
+def reset_date_range(c: Cohort) -> Cohort:
+    return replace(c, censor_window=None)
+
+
+def set_censor_event(c: Cohort, criterion: Criterion) -> Cohort:
+    return c.add_censoring(criterion)
+
+
+def clear_censor_events(c: Cohort) -> Cohort:
+    return c.clear_censoring()
+
+
+def apply_standard_rules(c: Cohort, prior_days: int = 365, era_days: int = 0, first_event: bool = True) -> Cohort:
+    c = set_cohort_era(set_prior_observation(c, prior_days), era_days)
+    return set_limit_to_first_event(c) if first_event else c
