@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 ORACLES: dict[str, str] = {}
 
@@ -70,14 +69,16 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
-    "op5_substring_dedup": op5_substring_dedup,
-    "op9_benchmark_decontamination": op9_benchmark_decontamination,
-    "op3_html_extraction": op3_html_extraction,
-    "op7_ngram_jaccard": op7_ngram_jaccard,
-    "op10_token_shards": op10_token_shards,
-    "op2_quality_rules": op2_quality_rules,
-    "op4_best_fit_packing": op4_best_fit_packing,
-    "op1_chat_formatting": op1_chat_formatting,
-    "op8_secret_scan": op8_secret_scan,
+    f.__name__: f
+    for f in (
+        op1_chat_formatting, op2_quality_rules, op3_html_extraction, op4_best_fit_packing, op5_substring_dedup,
+        op6_token_counts, op7_ngram_jaccard, op8_secret_scan, op9_benchmark_decontamination, op10_token_shards,
+    )
 }
