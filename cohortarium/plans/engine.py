@@ -86,14 +86,23 @@ class CohortResult:
             out = out.unionByName(met.select(F.lit(i).alias("inclusion_rule_id"), "person_id", "event_id"))
         return out
 
+    @cached_property
+    def masked(self) -> DataFrame:
+        """Qualified events with the mask of the rules that they meet."""
+        return statistics.masks(self.qualified, self.inclusion_events, len(self.expression.rules))
+
+    @cached_property
+    def best_events(self) -> DataFrame:
+        return statistics.best_events(self.masked)
+
     @cached_property
     def included(self) -> DataFrame:
         rows, n = self.qualified, len(self.expression.rules)
-        if n > 62:
+        if n > statistics.MOST_RULES:
             met = self.inclusion_events.groupBy(*KEYS).agg(F.count("*").alias("_n")).filter(F.col("_n") == n)
             rows = rows.join(met, KEYS, "left_semi")
         elif n:
-            rows = statistics.masks(rows, self.inclusion_events, n).filter(F.col("inclusion_rule_mask") == (1 << n) - 1)
+            rows = self.masked.filter(F.col("inclusion_rule_mask") == (1 << n) - 1)
         return limited(rows.select(*QUALIFIED), self.expression.expression_limit, ["start_date", "event_id"])
 
     @cached_property
@@ -124,17 +133,18 @@ class CohortResult:
             rows = rows.filter("start_date <= end_date")
         return rows.select(F.lit(self.cohort_id).cast("long").alias("cohort_definition_id"), F.col("person_id").alias("subject_id"), F.col("start_date").alias("cohort_start_date"), F.col("end_date").alias("cohort_end_date"))
 
-    def _index(self, mode: int) -> DataFrame:
-        return statistics.best_events(self.qualified, self.inclusion_events) if mode else self.qualified
+    def _events(self, mode: int) -> DataFrame:
+        """Mode 0 counts events, mode 1 people by their best event."""
+        return self.best_events if mode else self.masked
 
     def inclusion_result(self, mode: int = 0) -> DataFrame:
-        return statistics.inclusion_result(self._index(mode), self.inclusion_events, len(self.expression.rules), self.cohort_id, mode)
+        return statistics.inclusion_result(self._events(mode), self.cohort_id, mode)
 
     def inclusion_stats(self, mode: int = 0) -> DataFrame:
-        return statistics.inclusion_stats(self._index(mode), self.inclusion_events, len(self.expression.rules), self.cohort_id, mode)
+        return statistics.inclusion_stats(self._events(mode), len(self.expression.rules), self.cohort_id, mode)
 
     def summary_stats(self, mode: int = 0) -> DataFrame:
-        return statistics.summary_stats(self._index(mode), self.inclusion_events, len(self.expression.rules), self.cohort_id, mode)
+        return statistics.summary_stats(self._events(mode), len(self.expression.rules), self.cohort_id, mode)
 
 
 class CohortEngine:

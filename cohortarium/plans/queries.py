@@ -30,7 +30,7 @@ from ..model import (
     TextFilter,
     Window,
 )
-from ..operators import correlation, events, statistics
+from ..operators import correlation, events
 from ..operators.vocabulary import resolve
 from ..sources.commerce import commerce_cdm, common_tables
 from .engine import CohortEngine, CohortResult, primary_events
@@ -54,7 +54,7 @@ CONDITION = c("ConditionOccurrence", codeset_id=1)
 
 def _run(spark: SparkSession, sf_dir: str, **parts) -> CohortResult:
     parts.setdefault("primary", Primary((CONDITION,)))
-    return CohortEngine(spark, commerce_cdm(spark, sf_dir), keep=None).run(Cohort(concept_sets=SETS, **parts))
+    return CohortEngine(spark, commerce_cdm(spark, sf_dir)).run(Cohort(concept_sets=SETS, **parts))
 
 
 def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None, *tables: str) -> None:
@@ -226,7 +226,7 @@ _add("qualified_limit", lambda spark, sf_dir: _run(spark, sf_dir, additional=Gro
 RULES = (Rule("a drug near", None, Group("ALL", criteria=(_TWO[0],))), Rule("three drugs after", None, Group("ALL", criteria=(_TWO[1],))), Rule("a visit that day", None, Group("ALL", criteria=(_TWO[2],))))
 _MET = f"{_Q.format('', '')}, {_A}, {_K}, i as (select 0 as r, * from k1 union all select 1, * from k2 union all select 2, * from k3), m as (select q.person_id, q.event_id, q.start_date, q.end_date, q.op_start_date, q.op_end_date, q.visit_occurrence_id, cast(coalesce(sum(1 << r), 0) as bigint) as mask, count(r) as n, coalesce(min(r), 0) as least from q left join i on i.person_id = q.person_id and i.event_id = q.event_id group by all)"
 _MT = (*_BASE_TABLES, "drug_exposure", "visit_occurrence")
-_add("inclusion_mask", lambda spark, sf_dir: statistics.masks((r := _run(spark, sf_dir, rules=RULES)).qualified, r.inclusion_events, 3).select("person_id", "event_id", "inclusion_rule_mask"), f"with {_MET} select person_id, event_id, mask as inclusion_rule_mask from m", *_MT)
+_add("inclusion_mask", lambda spark, sf_dir: _run(spark, sf_dir, rules=RULES).masked.select("person_id", "event_id", "inclusion_rule_mask"), f"with {_MET} select person_id, event_id, mask as inclusion_rule_mask from m", *_MT)
 _add("inclusion_rules", lambda spark, sf_dir: _run(spark, sf_dir, rules=RULES[:2], expression_limit="First").included, f"with {_MET}, r as (select *, row_number() over (partition by person_id order by start_date, event_id) as nth from m where mask & 3 = 3) select {_QCOLS} from r where nth = 1", *_MT)
 
 
@@ -258,7 +258,7 @@ for _mode, _rows in ((0, "e as (select * from m)"), (1, "e as (select * exclude
     _add(f"inclusion_result{_tail}", lambda spark, sf_dir, m=_mode: _run(spark, sf_dir, rules=RULES).inclusion_result(m), _ONE + _rows + f" select cast(1 as bigint) as cohort_definition_id, mask as inclusion_rule_mask, count(*) as person_count, {_mode} as mode_id from e group by mask", *_MT)
     _add(f"inclusion_stats{_tail}", lambda spark, sf_dir, m=_mode: _run(spark, sf_dir, rules=RULES).inclusion_stats(m), _ONE + _rows + f" select cast(1 as bigint) as cohort_definition_id, cast(r as integer) as rule_sequence, (select count(*) from e where mask & (1 << r) > 0) as person_count, (select count(*) from e where mask = 7 - (1 << r)) as gain_count, (select count(*) from e) as person_total, {_mode} as mode_id from (select unnest([0, 1, 2]) as r) rules", *_MT)
     _add(f"summary_stats{_tail}", lambda spark, sf_dir, m=_mode: _run(spark, sf_dir, rules=RULES).summary_stats(m), _ONE + _rows + f" select cast(1 as bigint) as cohort_definition_id, count(*) as base_count, count(*) filter (mask = 7) as final_count, {_mode} as mode_id from e", *_MT)
-_add("best_event", lambda spark, sf_dir: statistics.best_events((r := _run(spark, sf_dir, rules=RULES)).qualified, r.inclusion_events).select("person_id", "event_id"), _ONE + "e as (select *, row_number() over (partition by person_id order by n desc, least, start_date, event_id) as rk from m) select person_id, event_id from e where rk = 1", *_MT)
+_add("best_event", lambda spark, sf_dir: _run(spark, sf_dir, rules=RULES).best_events.select("person_id", "event_id"), _ONE + "e as (select *, row_number() over (partition by person_id order by n desc, least, start_date, event_id) as rk from m) select person_id, event_id from e where rk = 1", *_MT)
 FULL = {"rules": RULES[:2], "expression_limit": "All", "end_strategy": CustomEra(4, 60, 5), "censoring": (c("VisitOccurrence", codeset_id=13),), "collapse": Collapse("ERA", 30), "censor_window": Period("1996-01-01", None)}
 _add("full_cohort", lambda spark, sf_dir: _run(spark, sf_dir, **FULL).cohort,
     f"with {_MET}, z as (select * from m where mask & 3 = 3), {_ERA.replace('eras as', 'deras as')}, ce as (select person_id, event_id, op_end_date as e from z union all select z.person_id, z.event_id, deras.e from z join deras on deras.person_id = z.person_id and z.start_date between deras.s and deras.e union all {_CENSOR.replace('from q ', 'from z q ')}), "
