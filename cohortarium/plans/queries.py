@@ -278,3 +278,22 @@ def _flag_sql() -> str:
 
 
 _add("flagship", flagship, _flag_sql(), *_BASE_TABLES)
+
+
+# rows only: what isn't a query over tables
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..render import markdown
+
+    return spark.createDataFrame(list(enumerate(markdown(Cohort(concept_sets=SETS, primary=Primary((CONDITION,)), **FULL)).split("\n"))), "line int, text string")
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..checks import check
+
+    return spark.createDataFrame([(f.severity, f.check, f.message) for f in check(Cohort(concept_sets=SETS, primary=Primary((CONDITION,)), **FULL))], "severity string, check string, message string")
+
+
+_add("markdown_render", _lines, None)
+_add("check_warnings", _findings, None)

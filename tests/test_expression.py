@@ -178,3 +178,45 @@ def test_command_line_runs(spark, tmp_path):
     (tmp_path / "c.json").write_text(model.to_json(FLAGSHIP))
     assert main(["run", str(tmp_path / "c.json"), "--cdm", str(tmp_path / "cdm"), "--results", str(tmp_path / "out")]) == 0
     assert spark.read.parquet(str(tmp_path / "out/cohort")).count() == 72
+
+
+def test_json_schema_names_what_is_written():
+    """Every key that an expression is written with is in the schema."""
+    from cohortarium.schema import json_schema
+
+    schema = json_schema()
+
+    def walk(data, at):
+        while "$ref" in at:
+            at = schema["$defs"][at["$ref"].rpartition("/")[2]]
+        if "oneOf" in at:
+            at = next(o for o in at["oneOf"] if set(o["required"]) <= set(data))
+        if isinstance(data, dict):
+            assert set(data) <= set(at["properties"]), set(data) - set(at["properties"])
+            for k, v in data.items():
+                walk(v, at["properties"][k])
+        elif isinstance(data, list):
+            for v in data:
+                walk(v, at["items"])
+
+    for kind in DOMAINS:
+        walk(model.to_dict(model.from_dict(expression(CensoringCriteria=[everything(kind)], EndStrategy={"CustomEra": {"DrugCodesetId": 1}}, InclusionRules=rule_with(CORRELATED, DemographicCriteriaList=[{"Age": RANGE}])))), schema)
+
+
+def test_run_options(spark):
+    from cohortarium.options import RunOptions, run
+    from cohortarium.plans.queries import FLAGSHIP
+    from cohortarium.sources.commerce import commerce_cdm
+
+    options = RunOptions.from_json('{"cohortId": 3, "cdmSchema": "opt_cdm", "targetTable": "opt_cdm.cohort", "resultSchema": "opt_cdm", "generateStats": true, "cohortIdFieldName": "cohort_id", "unknown": 1}')
+    spark.sql("create database if not exists opt_cdm")
+    cdm = commerce_cdm(spark, "/root/testdata/sf0.001")
+    for name in ("condition_occurrence", "observation_period", "concept"):
+        cdm.table(name).write.mode("overwrite").saveAsTable(f"opt_cdm.{name}")
+    cohort = FLAGSHIP.add_rule(model.Rule("all", None, model.Group()))
+    for _ in range(2):
+        run(spark, cohort, options)
+    run(spark, cohort, RunOptions(**{**options.__dict__, "cohort_id": 4}))
+    counts = {r["cohort_id"]: r["count"] for r in spark.table("opt_cdm.cohort").groupBy("cohort_id").count().collect()}
+    assert counts == {3: 72, 4: 72} and spark.table("opt_cdm.cohort_summary_stats").count() == 4
+    spark.sql("drop database opt_cdm cascade")
