@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 #: The six ASCII white-space characters that separate words; ``bytes.split()`` splits on exactly these.
 WHITE = " \t\n\x0b\x0c\r"
 #: Rows and bytes of one Arrow batch handed to Python, so that long texts stay within a worker's memory.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -57,11 +59,33 @@ def drop_written(df: DataFrame) -> None:
         remove(df.sparkSession, folder)
 
 
-def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
-    """Applies fn to every Arrow batch of df."""
+#: Caches that outlive a task in a Python worker, which other operators' tasks then share.
+CACHES: list[dict] = []
+_LIBC: list = []
+
+
+def fresh(caches: bool = False) -> None:
+    """Gives the worker's free memory back and, unless a task has use for them, empties its caches.
+
+    glibc's malloc is told, once a worker, to keep few arenas and to return large blocks at once.
+    """
+    for c in CACHES if not caches else ():
+        c.clear()
+    with contextlib.suppress(OSError, AttributeError):
+        if not _LIBC:
+            _LIBC.append(ctypes.CDLL("libc.so.6"))
+            for option, value in ((-8, 2), (-3, 1 << 18), (-1, 1 << 18)):  # M_ARENA_MAX, M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+                _LIBC[0].mallopt(option, value)
+        pa.default_memory_pool().release_unused()
+        _LIBC[0].malloc_trim(0)
+
+
+def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str, caches: bool = False) -> DataFrame:
+    """Applies fn to every Arrow batch of df; caches says whether fn uses the worker's caches."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh(caches)
         for b in batches:
             out = fn(b) if b.num_rows else None
             if out is not None:

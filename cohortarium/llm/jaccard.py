@@ -25,13 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, hash_words, mixed, small_batches, window_hashes, written
+from .common import by_batch, fresh, hash_words, mixed, small_batches, window_hashes, written
 from .components import components
 from .membership import one_row_an_id, only_ids, without_ids
 
 #: Hashed counters that order shingles, and their parts.
-COUNTERS, CHUNKS = 1 << 18, 64
-#: Documents of one block of a tile, about; a task compares two blocks.
+COUNTERS, CHUNKS = 1 << 20, 64
+#: Size bands between a size and the largest that it can link with.
+BANDS = 4
+#: Documents of a tile that is looked at in one row.
+SMALL = 64
+#: Documents of one block of a larger tile, about; a task compares two blocks.
 BLOCK = 512
 
 
@@ -88,6 +92,7 @@ def sets_and_counts(documents: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        fresh()
         counts = np.zeros(COUNTERS, np.int64)
         names = ["doc_id", "n", "key", "chunk", "counts"]
         for b in batches:
@@ -129,6 +134,7 @@ def prefixes(documents: DataFrame, counts: np.ndarray, width: int, percent: int)
     small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         often = shared.value
         for b in batches:
             ids, n, tokens, bits = [], [], [], []
@@ -185,16 +191,25 @@ def verified(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -
     return by_batch(joined.select("a", "b", "x", "y"), run, "a long, b long")
 
 
+def small_tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
+    """Pairs as tile_pairs gives them, but for the bitmaps, of tiles of SMALL documents or fewer, each in one row by size."""
+    rows = tiles.groupBy("token", "leader").agg(F.sort_array(F.collect_list(F.struct("n", "doc_id", "cluster"))).alias("d"))
+    apart = lambda x, y: (x["cluster"] != y["cluster"]) & (100 * x["n"] >= percent * y["n"]) & (x["doc_id"] != F.col("leader")) & (y["doc_id"] != F.col("leader"))
+    pair = lambda x, y: F.struct(F.least(x["doc_id"], y["doc_id"]).alias("a"), F.greatest(x["doc_id"], y["doc_id"]).alias("b"))
+    met = F.transform("d", lambda x, i: F.transform(F.filter(F.slice("d", i + 2, F.size("d")), lambda y: apart(x, y)), lambda y: pair(x, y)))
+    return rows.select(F.explode(F.flatten(met)).alias("p")).select("p.a", "p.b").distinct()
+
+
 def tile_pairs(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different clusters that share a tile and that sizes and bitmaps don't rule out.
 
     tiles: token, doc_id, n, cluster, leader, in_tile (documents of the tile).
     """
-    # sizes of linked sets differ by 100 / percent at most, so their bands are the same or neighbours; the slack outweighs rounding
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent * 1.0001)).cast("long")
+    # sizes of linked sets differ by 100 / percent at most, so their bands by BANDS at most; the slack outweighs rounding
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent * 1.0001) * BANDS).cast("long")
     rows = tiles.withColumn("band", band).withColumn("blocks", F.ceil(F.col("in_tile") / BLOCK).cast("int"))
-    # a band meets itself and the next larger one, whose documents are its guests
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("guest")).withColumn("band", F.col("band") - F.col("guest"))
+    # a band meets itself and the next larger ones, whose documents are its guests
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(BANDS))).alias("guest")).withColumn("band", F.col("band") - F.col("guest"))
     # bands of a tile in which nobody of another cluster can be met go before anything is dealt out
     met = rows.groupBy("token", "band").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.min("guest").alias("host")).filter("lo != hi and host = 0")
     rows = rows.join(met.select("token", "band"), ["token", "band"])
@@ -207,12 +222,25 @@ def tile_pairs(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     small_batches(tiles.sparkSession)
 
     def pairs_of(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        hosts = [r for r in group if r[0] == 0]
-        others = [r for r in group if r[0] > 0]
-        for _, a, ca, leader, n, x, xb in hosts:
-            for role, b, cb, _, m, y, yb in others:
-                if ca != cb and (role == 2 or a < b) and a != leader and b != leader and may_link(n, x, xb, m, y, yb, percent):
-                    yield (a, b) if a < b else (b, a)
+        """Every host against all others of the block at once."""
+        if not group or all(r[0] for r in group) or all(r[0] == 0 for r in group):
+            return
+        bits = min(8 * len(r[5]) for r in group)
+        words = np.array([np.bitwise_or.reduce(np.frombuffer(r[5], np.uint64).reshape(-1, bits // 64), axis=0) for r in group])
+        role, doc, cluster, leader, n = (np.array([r[k] for r in group], np.int64) for k in range(5))
+        others = np.flatnonzero(role > 0)
+        for h in np.flatnonzero(role == 0):
+            if doc[h] == leader[h]:
+                continue
+            m = n[others]
+            near = (cluster[others] != cluster[h]) & ((role[others] == 2) | (doc[others] > doc[h])) & (doc[others] != leader[others]) & (100 * np.minimum(m, n[h]) >= percent * np.maximum(m, n[h]))
+            at = others[near]
+            if not len(at):
+                continue
+            mine, theirs = words[h], words[at]
+            both = np.minimum(n[h] - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64), n[at] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64))
+            for other in doc[at[100 * both >= percent * (n[h] + n[at] - both)]].tolist():
+                yield (int(doc[h]), other) if doc[h] < other else (other, int(doc[h]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group, out = None, [], []
@@ -222,7 +250,7 @@ def tile_pairs(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if (token, band, i, j) != now:
                     out += pairs_of(group)
                     now, group = (token, band, i, j), []
-                group.append((role, doc, cluster, leader, n, int.from_bytes(bits, "little"), 8 * len(bits)))
+                group.append((role, doc, cluster, leader, n, bits))
             if len(out) > 10_000:
                 yield _pairs(out)
                 out = []
@@ -248,16 +276,20 @@ def near_duplicates(documents: DataFrame, width: int = 3, percent: int = 90) ->
     firsts = written(firsts, "firsts")
     sets = prefixes(documents, counts, width, percent).join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = written(sets, "prefixes")
-    tokens = sets.select(F.explode("tokens").alias("token"), "doc_id", "n")
+    tokens = sets.select(F.explode("tokens").alias("token"), "doc_id")
     shared = tokens.groupBy("token").agg(F.count("*").alias("in_tile"), F.min("doc_id").alias("leader")).filter("in_tile > 1")
     tiles = written(tokens.join(shared, "token"), "tiles")
-    bits = sets.select("doc_id", "n", "bits")
+    bits, sizes = sets.select("doc_id", "n", "bits"), sets.select("doc_id", "n")
+    size = lambda k: sizes.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"))
     star = tiles.filter("doc_id != leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star = star.join(size("a"), "a").join(size("b"), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
     links = written(verified(bounded_pairs(star, bits, percent), documents, width, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     clusters = components(links)
-    known = tiles.join(clusters.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("cluster", F.coalesce("component", "doc_id")).drop("component")
-    mixed_tiles = known.groupBy("token").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).filter("lo != hi and lo is not null").select("token")
-    more = tile_pairs(known.join(mixed_tiles, "token"), bits, percent)
+    clustered = sizes.join(clusters.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("cluster"))
+    known = tiles.join(clustered, "doc_id")
+    large = known.filter(F.col("in_tile") > SMALL)
+    several = large.groupBy("token").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).filter("lo != hi").select("token")
+    more = bounded_pairs(small_tile_pairs(known.filter(F.col("in_tile") <= SMALL), percent), bits, percent).unionByName(tile_pairs(large.join(several, "token"), bits, percent)).distinct()
     links2 = written(verified(more, documents, width, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     # repeated rows of one id with different sets link through the id
     same = classes.join(firsts, "key").filter("doc_id != first").select(F.col("first").alias("u"), F.col("doc_id").alias("v"))

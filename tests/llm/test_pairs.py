@@ -45,7 +45,7 @@ def test_near_duplicates(spark, documents):
     assert got == linked(texts, 3, 90)
 
 
-def test_near_duplicate_chains(spark):
+def test_near_duplicate_chains(spark, monkeypatch):
     """Families whose members drift away from the first: links that no leader sees must still be found."""
     random.seed(2)
     texts, n = {}, 0
@@ -60,7 +60,8 @@ def test_near_duplicate_chains(spark):
     random.shuffle(order)
     texts = {i: texts[j] for i, j in enumerate(order)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for width, percent in ((3, 90), (5, 80), (1, 70)):
+    for width, percent, small in ((3, 90, 64), (5, 80, 3), (1, 70, 64)):
+        monkeypatch.setattr(jaccard, "SMALL", small)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, width, percent).collect()}
         assert got == linked(texts, width, percent)
 
