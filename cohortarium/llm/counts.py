@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Bounded, by_batch, texts
+from .common import CACHES, Bounded, by_batch, texts
 from .tokens import default_path
 
 #: Fixed value: the sign that stands for a space.
@@ -56,7 +56,7 @@ class Counter:
         self.automaton.make_automaton()
         self.unknown_score = min(s for _, s in vocabulary.pieces) - UNKNOWN_PENALTY
         self.bytes = vocabulary.byte_fallback and all(f"<0x{b:02X}>" in ids for b in range(256))
-        self.cache = Bounded(self._count_all, 600_000)
+        self.cache = Bounded(self._count_all, 500_000)
 
     def _count_all(self, pieces: list[str]) -> list[tuple[int, float]]:
         return [self.count_one(SPACE + p) for p in pieces]
@@ -128,6 +128,7 @@ class Counter:
 
 
 _COUNTERS: dict[str, Counter] = {}
+CACHES.append(_COUNTERS)
 
 
 def counter(path: str) -> Counter:
@@ -147,4 +148,4 @@ def token_counts(documents: DataFrame, model: str | None = None) -> DataFrame:
         n, score = zip(*found, strict=True)
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(n, np.int64)), pa.array(score, pa.float64())], ["doc_id", "n_tokens", "score"])
 
-    return by_batch(documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text"), run, "doc_id long, n_tokens long, score double")
+    return by_batch(documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text"), run, "doc_id long, n_tokens long, score double", caches=True)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_batch, texts, written
-from .tokens import default_path, encoder
+from .tokens import REMEMBERED, default_path, encoder
 
 ROOM = 4096
 #: Groups that the pieces of one length are numbered in.
@@ -107,12 +107,12 @@ def pack(pieces: DataFrame, room: int = ROOM, order: tuple[str, ...] = ("doc_id"
     return by_batch(ranked, run, f"{fields}, sequence_id long, offset long")
 
 
-def token_pieces(documents: DataFrame, tokenizer: str | None = None, end: int = 1, room: int = ROOM, keep_ids: bool = False) -> DataFrame:
+def token_pieces(documents: DataFrame, tokenizer: str | None = None, end: int = 1, room: int = ROOM, keep_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32 and, where asked for, ids (little-endian 16-bit)."""
     path = tokenizer or default_path("word_bpe_49k.json")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        enc, rows, kept = encoder(path, "words"), [], []
+        enc, rows, kept = encoder(path, "words", remembered), [], []
         stop = np.array([end], "<u2").tobytes()
         for doc_id, data in zip(b.column("doc_id").to_pylist(), enc.ids(texts(b.column("text"))), strict=True):
             ids = np.frombuffer(data + stop, "<u2")
@@ -127,9 +127,9 @@ def token_pieces(documents: DataFrame, tokenizer: str | None = None, end: int =
         return pa.RecordBatch.from_arrays([*arrays, pa.array(kept, pa.binary())] if keep_ids else arrays, [*names, "ids"] if keep_ids else names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return by_batch(documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text"), run, schema)
+    return by_batch(documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text"), run, schema, caches=True)
 
 
-def pack_documents(documents: DataFrame, tokenizer: str | None = None, end: int = 1, room: int = ROOM, keep_ids: bool = False) -> DataFrame:
+def pack_documents(documents: DataFrame, tokenizer: str | None = None, end: int = 1, room: int = ROOM, keep_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Every piece of every document with its sequence and its place there."""
-    return pack(written(token_pieces(documents, tokenizer, end, room, keep_ids), "pieces"), room)
+    return pack(written(token_pieces(documents, tokenizer, end, room, keep_ids, remembered), "pieces"), room)

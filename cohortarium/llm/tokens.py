@@ -15,7 +15,7 @@ import unicodedata
 
 import numpy as np
 
-from .common import WHITE
+from .common import CACHES, WHITE
 
 #: Code points of white space beyond ASCII (fixed values), and of the four ASCII separators that some libraries count.
 _CODES = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
@@ -26,8 +26,8 @@ _LATIN = "0-9A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (
 _RUN = rf"[{_LATIN}]++(?=[!-/:-@\[-`{{-~{WHITE}]|\Z)"
 _CHUNK = re.compile(rf"[{WHITE}]*+{_RUN}|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _WORD = re.compile(rf"{_RUN}|[^{WHITE}]+")
-#: Chunks that the library gets at a time, joined; chunks remembered at most.
-_JOINED, _REMEMBERED = 512, 600_000
+#: Chunks that the library gets at a time, joined; chunks that a worker remembers at most, unless told otherwise.
+_JOINED, REMEMBERED = 512, 400_000
 
 
 def default_path(name: str) -> str:
@@ -43,7 +43,7 @@ class Encoder:
     them); 'words' drops it (vocabularies whose pre-tokenizer drops white space and whose tokens show a word's end).
     """
 
-    def __init__(self, path: str, chunks: str = "runs"):
+    def __init__(self, path: str, chunks: str = "runs", remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,7 +51,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary must fit 16 bits")
-        self.words = chunks == "words"
+        self.words, self.remembered = chunks == "words", remembered
         self.split = (_WORD if self.words else _CHUNK).findall
         #: Ids that end a word, or that begin with a space.
         self.edge = np.zeros(1 << 16, bool)
@@ -83,20 +83,24 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         odd = [bool(_OTHER_WHITE.search(t)) or not unicodedata.is_normalized("NFC", t) for t in texts]
         chunks = [() if o else self.split(t) for t, o in zip(texts, odd, strict=True)]
-        wanted = set().union(*chunks)
-        if len(self.cache) + len(wanted) > _REMEMBERED:
-            self.cache.clear()
-        missing = list(wanted.difference(self.cache))
-        self.cache.update(zip(missing, self._encode(missing), strict=True))
+        known = self.cache
+        missing = {c for some in chunks for c in some if c not in known}
+        if len(known) + len(missing) > self.remembered:
+            known.clear()
+            missing = set().union(*chunks)
+        new = list(missing)
+        known.update(zip(new, self._encode(new), strict=True))
         get = self.cache.__getitem__
         return [self._one_by_one([t])[0] if o else b"".join(map(get, c)) for t, c, o in zip(texts, chunks, odd, strict=True)]
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+_ENCODERS: dict[tuple[str, str, int], Encoder] = {}
+CACHES.append(_ENCODERS)
 
 
-def encoder(path: str, chunks: str) -> Encoder:
+def encoder(path: str, chunks: str, remembered: int = REMEMBERED) -> Encoder:
     """The worker's encoder; kept between tasks."""
-    if (path, chunks) not in _ENCODERS:
-        _ENCODERS[path, chunks] = Encoder(path, chunks)
-    return _ENCODERS[path, chunks]
+    key = (path, chunks, remembered)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]

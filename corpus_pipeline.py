@@ -40,8 +40,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces and their places in sequences of 4096 tokens."""
-    return pack_documents(docs)
+    """Every document's pieces and their places in sequences of 4096 tokens.
+
+    Workers that have been through the other stages remember fewer chunks, for their memory's sake.
+    """
+    return pack_documents(docs, remembered=100_000)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("packing", packing)]
