@@ -15,7 +15,7 @@ import unicodedata
 
 import numpy as np
 
-from .common import CACHES, WHITE
+from .common import CACHES, WHITE, Bounded
 
 #: Code points of white space beyond ASCII (fixed values), and of the four ASCII separators that some libraries count.
 _CODES = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
@@ -51,13 +51,13 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary must fit 16 bits")
-        self.words, self.remembered = chunks == "words", remembered
+        self.words = chunks == "words"
         self.split = (_WORD if self.words else _CHUNK).findall
         #: Ids that end a word, or that begin with a space.
         self.edge = np.zeros(1 << 16, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.edge[i] = token.endswith("</w>") if self.words else token.startswith("Ġ")
-        self.cache: dict[str, bytes] = {}
+        self.cache = Bounded(self._encode, remembered)
 
     def _one_by_one(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -80,18 +80,14 @@ class Encoder:
         same = iter(found)
         return [next(same) if p else next(others) for p in plain]
 
+    def _text(self, text: str) -> bytes:
+        if _OTHER_WHITE.search(text) or not unicodedata.is_normalized("NFC", text):
+            return self._one_by_one([text])[0]
+        return b"".join(self.cache.get_all(self.split(text)))
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        odd = [bool(_OTHER_WHITE.search(t)) or not unicodedata.is_normalized("NFC", t) for t in texts]
-        chunks = [() if o else self.split(t) for t, o in zip(texts, odd, strict=True)]
-        known = self.cache
-        missing = {c for some in chunks for c in some if c not in known}
-        if len(known) + len(missing) > self.remembered:
-            known.clear()
-            missing = set().union(*chunks)
-        new = list(missing)
-        known.update(zip(new, self._encode(new), strict=True))
-        get = self.cache.__getitem__
-        return [self._one_by_one([t])[0] if o else b"".join(map(get, c)) for t, c, o in zip(texts, chunks, odd, strict=True)]
+        """Text by text: what a text's first look-up brings in is near when it is joined."""
+        return [self._text(t) if t else b"" for t in texts]
 
 
 _ENCODERS: dict[tuple[str, str, int], Encoder] = {}
