@@ -194,6 +194,22 @@ def test_decontamination_odd_rows(spark, odd_documents, no_documents):
     assert decontaminate.without_leaks(odd_documents, bench.filter("1 = 0")).count() == odd_documents.count()
 
 
+def test_decontamination_of_common_words(spark):
+    """Items whose words are common: in a group of copies with more than 12 % of the rows, and in a table of few rows."""
+    random.seed(8)
+    some = lambda n: [f"w{random.randrange(5000)}" for _ in range(n)]
+    item, body = some(30), some(200)
+    swapped = [w if k % 6 else "otherwise" for k, w in enumerate(item)]
+    rows = [(i, " ".join(body[:100] + item + body[100:])) for i in range(60)] + [(60 + i, " ".join(some(150))) for i in range(120)]
+    rows += [(1000, " ".join(some(70) + item + some(70))), (1001, " ".join(some(70) + swapped + some(70))), (1002, " ".join(item[:15] + some(300) + item[15:]))]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(some(30)))], "item_id long, text string")
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id, r.verbatim) for r in got} == {(i, 1, True) for i in (*range(60), 1000, 1001)} and len(got) == 62
+    few = spark.createDataFrame([rows[0], rows[70], rows[71]], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id, r.lcs) for r in decontaminate.leaks(few, bench).collect()] == [(0, 1, 30)]
+    assert [r.doc_id for r in decontaminate.without_leaks(few, bench).orderBy("doc_id").collect()] == [70, 71]
+
+
 def article(html):
     import html as h
 
