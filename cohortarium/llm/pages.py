@@ -5,14 +5,17 @@ footers, forms, adverts, comments ...), inside the page's article, or neither. P
 URL path; a page's nearest pages are its neighbours of the same host in that order. Lines of the two are aligned by
 longest common subsequence, and shared lines outside the article are deleted: what neighbouring pages share is the
 site's, what they don't is the page's. Lines inside an article element are the page's own by its own word, also where
-a copy of the article stands next to it, so differencing leaves them.
+a copy of the article stands next to it, so differencing leaves them. Copies are no neighbours: the nearest page that
+shares less than COPY of the text is.
 
 Neighbours are found without a window over a host: the URLs alone are sorted, every so many of them a run begins, and
 the pages are dealt to runs by bisection; the pages at a run's ends also go to the run beside it. So a host of any
-size is spread over tasks, a page is shuffled once, and a task holds three pages at a time.
+size is spread over tasks, a page is shuffled once, and a task holds three pages at a time, and of a group of copies
+the pages that wait for one that differs (those of equal html share their lines). Copies up to a run's end have no
+neighbour on that side.
 
 Defined results: a null or empty html has the empty text; a null url is of the empty host and path; pages with equal
-URLs stand in the order of page_id; repeated rows are pages of their own; an empty table gives no rows; extra columns
+URLs stand in the order of page_id; repeated rows are pages of their own and copies of each other; an empty table gives no rows; extra columns
 are ignored.
 """
 
@@ -32,6 +35,8 @@ from .common import by_batch, small_batches
 
 #: Runs of pages for each shuffle partition.
 RUNS = 4
+#: Pages that share this part of either's text are copies of each other.
+COPY = 0.9
 
 # Element names by what they do to text.
 SKIP = frozenset("script style noscript template iframe svg math canvas object select textarea button form nav footer aside menu dialog audio video head".split())
@@ -162,6 +167,15 @@ def shared_lines(mine: list[str], other: list[str]) -> set[int]:
     return found
 
 
+def copies(page: list[Line], other: list[Line]) -> bool:
+    """Whether the two have nearly all of their text in common, so that what they share isn't the site's."""
+    a, b = ([x[0] for x in lines if not x[2]] for lines in (page, other))
+    if a == b:
+        return True
+    size = [sum(map(len, x)) for x in (a, b)]
+    return 0 < COPY * max(size) <= min(size) and sum(len(a[i]) for i in shared_lines(a, b)) >= COPY * max(size)
+
+
 def main_text(page: list[Line], neighbours: list[list[Line]]) -> str:
     """What is left of the page's lines. A page without an article keeps its other lines that no neighbour shares."""
     candidates = [x for x in page if not x[2]]
@@ -235,22 +249,31 @@ def extract(pages: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([*b.columns, pa.array(to, pa.int64()), pa.array(own, pa.bool_())], [*b.schema.names, "run", "own"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come run by run in order; three pages are held."""
-        before = page = None
+        """Rows come run by run in order; the pages that no later page has differed from wait."""
+        before, waiting = None, []
 
         def settled(after: tuple | None) -> Iterator[tuple]:
-            if page and page[1]:
-                yield page[2], page[3], main_text(page[5], [x[5] for x in (before, after) if x and x[0] == page[0] and x[4] == page[4]])
+            near = [x[5] for x in (before, after) if x and x[0] == waiting[0][0] and x[4] == waiting[0][4]]
+            texts: dict[int, str] = {}
+            for page in waiting:
+                if page[1]:
+                    if id(page[5]) not in texts:
+                        texts[id(page[5])] = main_text(page[5], [x for x in near if len(waiting) == 1 or not copies(page[5], x)])
+                    yield page[2], page[3], texts[id(page[5])]
 
         for b in batches:
             out = []
             for run, own, page_id, url, host, html in zip(*(b.column(c).to_pylist() for c in ("run", "own", "page_id", "url", "host", "html")), strict=True):
-                after = (run, own, page_id, url, host, lines(html) if html else [])
-                out += settled(after)
-                before, page = page, after
+                last = waiting[-1] if waiting else None
+                same = last and last[6] == html
+                page = (run, own, page_id, url, host, last[5] if same else lines(html) if html else [], html)
+                if last and not (last[0] == run and last[4] == host and (same or copies(waiting[0][5], page[5]))):
+                    out += settled(page)
+                    before, waiting = waiting[0], []
+                waiting.append(page)
             if out:
                 yield _texts(out)
-        if out := list(settled(None)):
+        if waiting and (out := list(settled(None))):
             yield _texts(out)
 
     dealt = by_batch(rows, deal, "page_id long, url string, html string, host string, path string, run long, own boolean")

@@ -238,6 +238,18 @@ def test_page_differencing(spark):
     assert pages.extract(df.filter("1 = 0")).count() == 0
 
 
+def test_page_copies(spark):
+    """Copies without an article, repeated rows among them, keep their text and lose what a page that differs shares."""
+    page = "<html><body><div>Site name</div><p>Buy now</p>{}<p>All about us</p></body></html>"
+    body = "a long text that stands on several pages of the host, word for word, and is longer than the site's own lines are together, " * 4
+    rows = [(0, "http://h.example/a", page.format("<p>first</p>"))] + [(i, f"http://h.example/b/{i}", page.format(f"<p>{body}</p>")) for i in (1, 2, 2, 3)]
+    rows += [(4, "http://h.example/b/4", page.format(f"<p>Mirror</p><p>{body}</p>")), (5, "http://h.example/c", page.format("<p>last</p>"))]
+    rows += [(i, "http://copied.example/", page.format(f"<p>{body}</p>")) for i in (6, 6)]
+    got = sorted((r.page_id, r.text) for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    alone = f"Site name\nBuy now\n{body.strip()}\nAll about us"
+    assert got == [(0, "first"), *((i, body.strip()) for i in (1, 2, 2, 3)), (4, f"Mirror\n{body.strip()}"), (5, "last"), (6, alone), (6, alone)]
+
+
 def test_page_lines():
     kept = lambda h: [x[0] for x in pages.lines(h) if not x[2]]
     assert kept('<script>var t="</p><p>no";</script><p>a<b>b</b><br>c<p>d<!-- <p>no --><ul><li>e<li>f</ul>') == ["ab c", "d", "e", "f"]
