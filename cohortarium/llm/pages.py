@@ -61,11 +61,12 @@ CONTAINERS = frozenset("article aside blockquote body details dialog div dl fiel
 Line = tuple[str, bool, bool]
 
 
-def boiler_attributes(attributes: str) -> bool:
+def boiler_attributes(attributes: str, whole: bool = False) -> bool:
+    """Whether a class, id or role has a word of BOILER in it or, if whole, is one."""
     for name, a, b, c in _NAMED.findall(attributes):
         if name.lower() == "hidden":
             return True
-        if name.lower() != "aria-label" and any(w.lower() in BOILER for w in _WORDS.findall(a or b or c)):
+        if name.lower() != "aria-label" and any(w.lower() in BOILER for w in ((a or b or c).split() if whole else _WORDS.findall(a or b or c))):
             return True
     return False
 
@@ -127,7 +128,7 @@ def lines(page: str) -> list[Line]:
                     if stack[k][0] in CONTAINERS:
                         break
         article, skipped = state()
-        boiler = tag in SKIP or (tag == "header" and not article) or (tag in BLOCK and tag not in ("body", "html", "article", "main") and boiler_attributes(m[3]))
+        boiler = tag in SKIP or (tag == "header" and not article) or (tag in BLOCK and tag not in ("body", "html", "main") and boiler_attributes(m[3], tag == "article"))
         if not (m[3].endswith("/") and tag not in BLOCK):
             stack.append((tag, article or tag in ("article", "main"), skipped or boiler))
     flush()
@@ -177,15 +178,12 @@ def copies(page: list[Line], other: list[Line]) -> bool:
 
 
 def main_text(page: list[Line], neighbours: list[list[Line]]) -> str:
-    """What is left of the page's lines. A page without an article keeps its other lines that no neighbour shares."""
+    """What is left of the page's lines: those of its articles, and of the others those that no neighbour shares."""
     candidates = [x for x in page if not x[2]]
     gone: set[int] = set()
     for other in neighbours:
         gone |= shared_lines([x[0] for x in candidates], [x[0] for x in other if not x[2]])
-    kept = [x for i, x in enumerate(candidates) if x[1] or i not in gone]
-    if any(x[1] for x in kept):
-        kept = [x for x in kept if x[1]]
-    return "\n".join(x[0] for x in kept)
+    return "\n".join(x[0] for i, x in enumerate(candidates) if x[1] or i not in gone)
 
 
 def host_and_path(url):

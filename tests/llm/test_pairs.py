@@ -250,6 +250,13 @@ def test_page_copies(spark):
     assert got == [(0, "first"), *((i, body.strip()) for i in (1, 2, 2, 3)), (4, f"Mirror\n{body.strip()}"), (5, "last"), (6, alone), (6, alone)]
 
 
+def test_pages_with_an_article_beside_the_text(spark):
+    """A teaser or a comment in an article element doesn't take the place of text in divs."""
+    page = '<div>Site name</div><div><p>body {0}</p></div><article><p>teaser {0}</p></article><article class="post comment"><p>remark {0}</p></article><article class="no-comments"><p>more {0}</p></article><p>All about us</p>'
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", page.format(i)) for i in range(6)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in pages.extract(df).collect()} == {i: f"body {i}\nteaser {i}\nmore {i}" for i in range(6)}
+
+
 def test_page_lines():
     kept = lambda h: [x[0] for x in pages.lines(h) if not x[2]]
     assert kept('<script>var t="</p><p>no";</script><p>a<b>b</b><br>c<p>d<!-- <p>no --><ul><li>e<li>f</ul>') == ["ab c", "d", "e", "f"]
