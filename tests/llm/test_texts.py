@@ -60,6 +60,18 @@ def test_quality_held_out(spark):
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.4 * len(bad)
 
 
+def test_quality_of_toxic_documents(spark):
+    """Labels of every other document fit the model; of the others, most that are toxic and of quality 1 go."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = fit(docs, labels.filter("doc_id % 2 = 0"))
+    truth = {r.doc_id: r.toxic for r in labels.filter("doc_id % 2 = 1 and quality = 1").collect()}
+    rows = [r for r in judge(docs, model).collect() if r.doc_id in truth and not r.base_failed]
+    toxic, good = ([r.kept for r in rows if truth[r.doc_id] == x] for x in (1, 0))
+    print("toxic kept", sum(toxic), len(toxic), "good kept", sum(good), len(good))
+    assert sum(toxic) <= 0.5 * len(toxic) and sum(good) >= 0.97 * len(good)
+
+
 def test_quality_odd_rows(spark, odd_documents, no_documents):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (8, None, None), (None, 1, 1), (5, 0, 1)], "doc_id long, quality int, toxic int")
     rows = judge(odd_documents, fit(odd_documents, labels)).collect()
