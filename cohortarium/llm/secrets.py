@@ -33,7 +33,7 @@ SENSITIVE = {
 #: Literals that stand for no secret.
 PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|undefined|changeme|example|placeholder|your[_-].*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s)$")
 _PAIR = re.compile(
-    r"""(?<![\w.$-])(?:(?:export|set|const|let|var|final|static|string|str|define)[ \t]+)*["']?(?P<name>[A-Za-z_$][\w.$-]{0,127})["']?[ \t]*(?P<op>:=|=>|==?|:)[ \t]*"""
+    r"""(?<![\w.$-])(?:(?:export|set|const|let|var|final|static|string|str|define)[ \t]+)*["']?(?P<name>[A-Za-z_$][\w.$-]*+)["']?[ \t]*(?P<op>:=|=>|==?|:)[ \t]*"""
     r"""(?:[bru]{0,2}(?P<quote>["'`])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote)|(?P<bare>[^\s"'`,;(){}\[\]<>#]+))""", re.ASCII)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -52,6 +52,17 @@ def randomness(literal: str) -> float:
     return bits + 0.5 * max(0, classes - 1)
 
 
+def reached(names: list[str], edges: dict, seen: set[str]) -> set[str]:
+    """The names and all that edges lead to from them, without those seen before; adds them to seen."""
+    todo, out = list(names), set()
+    while todo:
+        if (name := todo.pop()) not in seen:
+            seen.add(name)
+            out.add(name)
+            todo += edges.get(name, ())
+    return out
+
+
 def lex(text: str, least: float = 4.0) -> list[tuple[int, int]]:
     """Places of literals whose targets and looks together score ``least`` or more."""
     pairs = []
@@ -64,18 +75,26 @@ def lex(text: str, least: float = 4.0) -> list[tuple[int, int]]:
     for name, value, start, stop, quoted in pairs:
         if quoted or not re.fullmatch(r"[A-Za-z_$][\w.$]*", value, re.ASCII):
             constants.setdefault(name, []).append((value, start, stop))
-    stands_for = {name: value for name, value, _, _, quoted in pairs if not quoted and value in constants and value != name}
+    names = {name for name, *_ in pairs}
+    stands_for: dict[str, set[str]] = {}
+    for name, value, _, _, quoted in pairs:
+        if not quoted and value in names and value != name:
+            stands_for.setdefault(name, set()).add(value)
+    stood_for: dict[str, list[str]] = {}
+    for name, values in stands_for.items():
+        for value in values:
+            stood_for.setdefault(value, []).append(name)
+    leads = reached(list(constants), stood_for, set())
+    weights = [sensitivity(name) for name, *_ in pairs]
     score: dict[tuple[int, int], int] = {}
     literal: dict[tuple[int, int], str] = {}
-    for name, value, start, stop, _ in pairs:
-        weight, seen = sensitivity(name), set()
-        if not weight:
-            continue
-        hops = value
-        while hops in stands_for and hops not in seen:  # names that stand for names
-            seen.add(hops)
-            hops = stands_for[hops]
-        for v, a, b in constants.get(hops, [(value, start, stop)]) if hops in constants and value in (*constants, *stands_for) else [(value, start, stop)]:
+    seen: set[str] = set()
+    for weight in sorted({w for w in weights if w}, reverse=True):
+        mine = [p for p, w in zip(pairs, weights, strict=True) if w == weight]
+        places = [(value, start, stop) for _, value, start, stop, _ in mine if value not in leads]
+        for name in reached([value for _, value, *_ in mine if value in leads], stands_for, seen):  # names that stand for names
+            places += constants.get(name, [])
+        for v, a, b in places:
             score[a, b] = max(score.get((a, b), 0), weight)
             literal[a, b] = v
     found = []
