@@ -194,6 +194,30 @@ def test_decontamination_odd_rows(spark, odd_documents, no_documents):
     assert decontaminate.without_leaks(odd_documents, bench.filter("1 = 0")).count() == odd_documents.count()
 
 
+def test_decontamination_recall_beyond_the_sample(spark):
+    """On more documents than the space is fitted on and more passages than its rank, against what was planted."""
+    folder = "/root/testdata/sf0.1"
+    docs, bench = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{folder}/benchmark.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    items = {r.item_id: r.text for r in bench.collect()}
+    assert len(texts) > decontaminate.FIT_DOCUMENTS and len(items) > decontaminate.RANK
+    random.seed(5)
+    base = [t.split() for _, t in sorted(texts.items())[:3000] if len((t or "").split()) > 60]
+    planted = []
+    for i, t in items.items():
+        w = [x if random.random() > 0.1 else random.choice(random.choice(base)) for x in t.split()]
+        c = random.choice(base)
+        at = random.randrange(len(c))
+        planted.append((1_000_000 + i, " ".join(c[:at] + w + c[at:])))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string")), bench).collect()}
+    plain = lambda t: b" " + b" ".join(decontaminate.plain(x) for x in (t or "").encode().split()) + b" "
+    said = {i: plain(t) for i, t in items.items()}
+    verbatim = {(d, i) for d, t in texts.items() for x in [plain(t)] for i, s in said.items() if s in x}
+    held = sum((1_000_000 + i, i) in found for i in items)
+    print("planted found", held, len(items), "verbatim found", len(verbatim & found), len(verbatim))
+    assert verbatim <= found and held >= 0.95 * len(items)
+
+
 def test_decontamination_of_common_words(spark):
     """Items whose words are common: in a group of copies with more than 12 % of the rows, and in a table of few rows."""
     random.seed(8)
