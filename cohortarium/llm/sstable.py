@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches, texts, written
+from .common import new_path, small_batches, written
 from .tokens import default_path, encoder
 
 MAGIC = b"CHTSST01"
@@ -162,7 +162,7 @@ class Reader:
 
 
 def write_shards(documents: DataFrame, path: str, tokenizer: str | None = None, end: int = 0) -> DataFrame:
-    """Writes the shards into path; gives their table: shard, file, n_docs, n_tokens, base (ids in the shards before)."""
+    """Writes the shards into path; gives their table: shard, file, n_docs, n_tokens, first and last key, base (ids in the shards before)."""
     spark = documents.sparkSession
     small_batches(spark)
     fs, folder = filesystem(path)
@@ -175,7 +175,7 @@ def write_shards(documents: DataFrame, path: str, tokenizer: str | None = None,
         file = f"{path}/{shard:06d}-{uuid.uuid4().hex}.sst"  # a task that runs again writes a file of its own
         fs, place = filesystem(file)
         for b in batches:
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.ids(texts(b.column("text"))), strict=True):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.ids(b.column("text")), strict=True):
                 if writer is None:
                     sink = fs.open_output_stream(place)
                     writer = Writer(sink)
@@ -183,10 +183,10 @@ def write_shards(documents: DataFrame, path: str, tokenizer: str | None = None,
         if writer:
             writer.close()
             sink.close()
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [file], "n_docs": [len(writer.keys)], "n_tokens": [writer.n_ids]})
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [file], "n_docs": [len(writer.keys)], "n_tokens": [writer.n_ids], "first": [writer.keys[0]], "last": [writer.keys[-1]]})
 
     rows = documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    made = written(rows.mapInArrow(run, "shard long, file string, n_docs long, n_tokens long"), "shards")
+    made = written(rows.mapInArrow(run, "shard long, file string, n_docs long, n_tokens long, first binary, last binary"), "shards")
     return made.withColumn("base", F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens"))  # a row a shard
 
 
@@ -210,12 +210,12 @@ def read_shards(spark: SparkSession, shards: DataFrame, digests: bool = False) -
 
 
 def lookup(shards: DataFrame, doc_id: int) -> bytes | None:
-    """One document's ids: the shard by its Bloom filter, the block by binary search."""
-    for r in shards.select("file").orderBy("shard").toLocalIterator():
+    """One document's ids: the shard by the keys that it begins and ends with, the block by Bloom filter and binary search."""
+    key = key_of(doc_id)
+    for r in shards.filter((F.col("first") <= F.lit(key)) & (F.col("last") >= F.lit(key))).select("file").collect():  # one row at most
         fs, place = filesystem(r["file"])
         with fs.open_input_file(place) as source:
-            if (found := Reader(source).get(key_of(doc_id))) is not None:
-                return found
+            return Reader(source).get(key)
     return None
 
 

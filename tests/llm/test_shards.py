@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from cohortarium.llm import packing, queries, sstable
+from cohortarium.llm import packing, queries, sstable, tokens
 from cohortarium.llm.common import new_path
 from cohortarium.llm.tokens import default_path
 
@@ -113,3 +113,24 @@ def test_shard_file(tmp_path):
     (tmp_path / "a.sst").write_bytes(data)
     with fs.LocalFileSystem().open_input_file(place) as source, pytest.raises(ValueError, match="damaged"):
         list(sstable.Reader(source).scan())
+
+
+@pytest.mark.parametrize(("name", "chunks"), [("byte_bpe_50k.json", "runs"), ("word_bpe_49k.json", "words")])
+def test_ids_are_the_librarys(name, chunks, monkeypatch):
+    """Signs of every kind at random, in texts shorter and longer than what is cut at a time."""
+    monkeypatch.setattr(tokens, "_BYTES", 500)
+    rng = np.random.default_rng(3)
+    signs = [*"ab Z9éßİ×÷Ãʰй中'`.,-_<>|\n\t\r\x0b\x1c\x85\xa0 　́Å😀", " the", "it's", "<|endoftext|>", "  "]
+    said = ["".join(rng.choice(signs, rng.integers(0, 60), p=None)) for _ in range(1500)] + ["".join(rng.choice([*"abé ,"], 5000)) for _ in range(4)] + ["", " ", "a", "\n\n"]
+    for special in (False, True):
+        mine, its = tokens.Encoder(default_path(name), chunks, 50, special), Tokenizer.from_file(default_path(name))
+        its.encode_special_tokens = not special
+        want = [its.encode(t, add_special_tokens=False).ids for t in said]
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u2").tolist() for x in mine.ids(said)] == want
+
+
+def test_pack_keeps_columns_of_any_name(spark):
+    rows = spark.range(50).selectExpr("id as doc_id", "0 as piece", "cast(id % 7 + 1 as bigint) as length", "id as _rank", "'x' as _salt", "id as _n", "id as _before")
+    got = packing.pack(rows, 10).collect()
+    assert sorted((r.doc_id, r._rank, r._n, r._before) for r in got) == [(k, k, k, k) for k in range(50)] and packed(got, 10) <= 21
