@@ -4,10 +4,12 @@ Documents become pieces of at most ``room`` tokens; only longer documents are cu
 a table of at most ``room`` rows however many documents there are. For each bin, bitset subset-sum dynamic
 programming over the lengths still available finds the fullest feasible combination that holds the longest of them;
 the combination is taken out as often as the counts allow. Pieces then find their place by their rank among the
-pieces of their length; ranks are counted in salted groups, so that no length is numbered in one task.
+pieces of their length; ranks are counted in salted groups, more of them the more pieces there are, so that no length
+is numbered in one task.
 
-Defined results: a null or empty text is its end token alone; repeated rows are packed each; an empty table gives no
-rows; extra columns are ignored.
+Defined results: a null or empty text is its end token alone; repeated rows are packed each (rows of one or no doc_id
+change places with each other at will, which changes no bin); an empty table gives no rows; extra columns are ignored
+by ``pack_documents`` and kept by ``pack``, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, texts, written
+from .common import by_batch, written
 from .tokens import REMEMBERED, default_path, encoder
 
 ROOM = 4096
-#: Groups that the pieces of one length are numbered in.
-SALTS = 64
+#: Pieces of one length that are numbered in one group, about.
+NUMBERED = 250_000
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -83,24 +85,27 @@ def places(found: list[tuple[dict[int, int], int]]) -> np.ndarray:
 def pack(pieces: DataFrame, room: int = ROOM, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """pieces (order columns, length from 1 to room, any others) with sequence_id and offset.
 
-    pieces is read twice: give a written table.
+    pieces is read twice: give a written table. Its columns may have any names but those two.
     """
     spark = pieces.sparkSession
+    free = lambda name: name if name not in pieces.columns else free(f"_{name}")
+    salt, rank, n, before = map(free, ("_salt", "_rank", "_n", "_before"))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``room`` rows
     table = places(patterns(counts, room))
     columns = pieces.columns
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
-    by_salt = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))  # at most room x SALTS rows
-    by_salt = by_salt.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)))
-    ranked = ranked.join(by_salt, ["length", "_salt"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_before")).select(*columns, "_rank")
+    salts = 64 + max(counts.values(), default=0) // NUMBERED
+    salted = pieces.withColumn(salt, F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    by_salt = salted.groupBy("length", salt).agg(F.count("*").alias(n))  # at most room x salts rows
+    by_salt = by_salt.select("length", salt, (F.sum(n).over(Window.partitionBy("length").orderBy(salt)) - F.col(n)).alias(before))
+    ranked = salted.withColumn(rank, F.row_number().over(Window.partitionBy("length", salt).orderBy(*order)))
+    ranked = ranked.join(by_salt, ["length", salt]).withColumn(rank, F.col(rank) - 1 + F.col(before)).select(*columns, rank)
     shared = spark.sparkContext.broadcast(table)  # at most room lengths x 90 different lengths in a bin
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         t = shared.value
-        length, rank = b.column("length").to_numpy(zero_copy_only=False).astype(np.int64), b.column("_rank").to_numpy(zero_copy_only=False)
-        i = np.searchsorted((t[:, 0] << 48) + t[:, 1], (length << 48) + rank, side="right") - 1
-        nth, copies = rank - t[i, 1], t[i, 2]
+        length, place = b.column("length").to_numpy(zero_copy_only=False).astype(np.int64), b.column(rank).to_numpy(zero_copy_only=False)
+        i = np.searchsorted((t[:, 0] << 48) + t[:, 1], (length << 48) + place, side="right") - 1
+        nth, copies = place - t[i, 1], t[i, 2]
         return pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(t[i, 3] + nth // copies), pa.array(t[i, 4] + nth % copies * length)], [*columns, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
@@ -114,7 +119,7 @@ def token_pieces(documents: DataFrame, tokenizer: str | None = None, end: int =
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         enc, rows, kept = encoder(path, "words", remembered), [], []
         stop = np.array([end], "<u2").tobytes()
-        for doc_id, data in zip(b.column("doc_id").to_pylist(), enc.ids(texts(b.column("text"))), strict=True):
+        for doc_id, data in zip(b.column("doc_id").to_pylist(), enc.ids(b.column("text")), strict=True):
             ids = np.frombuffer(data + stop, "<u2")
             for k in range(0, len(ids), room):
                 cut = ids[k : k + room]
