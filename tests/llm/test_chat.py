@@ -45,6 +45,16 @@ def test_odd_rows_and_long_conversations(spark):
     assert read_back(format_conversations(df.filter("1 = 0"))).count() == 0
 
 
+def test_sparse_and_equal_turn_numbers(spark):
+    rows = [(1, 0, "system", "s"), (1, 10**13, "user", "a"), (1, 10**13 + 1, "assistant", "b")]
+    rows += [(2, (i * 7919 % 900) * 10**15 if i else None, ("assistant", "user", "system")[i % 3], f"said {i}") for i in range(900)]
+    many = spark.createDataFrame(rows, SCHEMA).unionByName(spark.range(20_000).selectExpr("cast(null as long) conv_id", "5L turn", "case when id % 2 = 0 then 'user' else 'assistant' end role", "concat('t', id % 9000) text"))
+    want = expected([tuple(r) for r in many.collect()])
+    assert got(read_back(format_conversations(many, 200, 3, 30))) == want
+    for w in format_conversations(many.filter("conv_id = 2"), 200, 3, 30).filter("block > 0").collect():
+        assert w.text.startswith("### system:\n")
+
+
 def test_windows(spark):
     rows = [(1, 0, "system", "be kind")] + [(1, i, ("assistant", "user")[i % 2], "a b c d e") for i in range(1, 40)]
     windows = format_conversations(spark.createDataFrame(rows, SCHEMA), 80, 2, 20).collect()
