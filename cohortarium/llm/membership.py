@@ -1,4 +1,4 @@
-"""Bitmaps of a fixed size that tell a scan which keys a join may want.
+"""Bitmaps of a bounded size that tell a scan which keys a join may want.
 
 A bitmap only spares rows a shuffle: what it lets through wrongly the join after it drops, and it never stops a key
 that it was made from. So results don't depend on its size.
@@ -13,40 +13,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, mixed, small_batches, written
+from .common import by_batch, mixed, written
 
-#: Bits of a bitmap of document ids, and the parts that tasks give it in.
-ID_BITS, CHUNKS = 1 << 23, 64
+#: Bits for each value, about; bits of a bitmap, at least and at most (32 MB); and the parts that tasks give it in.
+BITS_A_VALUE, LEAST_BITS, MOST_BITS, CHUNKS = 12, 1 << 16, 1 << 28, 64
 
 
-def bits_of(rows: DataFrame, column: str, bits: int) -> bytes:
-    """A bitmap of a fixed number of bits with those set that the values of a long column hash to."""
-    small_batches(rows.sparkSession)
+def bits_of(rows: DataFrame, column: str) -> bytes:
+    """A bitmap with those bits set that the values of a long column hash to; its size follows the number of rows.
+
+    rows is read twice: give a written table.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_VALUE * rows.count()).bit_length()))
     width = bits // CHUNKS
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(bits // 8, np.uint8)
-        some = False
-        for b in batches:
-            at = np.unique(bit_places(b.column(0), bits))
-            np.bitwise_or.at(seen, at >> 3, (1 << (at & 7)).astype(np.uint8))
-            some = some or len(at) > 0
-        if some:
-            for k in range(CHUNKS):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([seen[k * width // 8 : (k + 1) * width // 8].tobytes()], pa.binary())], ["chunk", "bits"])
-
-    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(b: pa.RecordBatch) -> pa.RecordBatch:
+        at = np.unique(bit_places(b.column(0), bits))
+        return pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int32))], ["chunk", "at"])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, data in zip(b.column("chunk").to_pylist(), b.column("bits").to_pylist(), strict=True):
-                x = np.frombuffer(data, np.uint8)
-                found[k] = x | found[k] if k in found else x
+            chunk, at = (c.to_numpy() for c in b.columns)
+            for k in np.unique(chunk).tolist():
+                found.setdefault(k, np.zeros(width, bool))[at[chunk == k]] = True
         for k, x in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["chunk", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary())], ["chunk", "bits"])
 
     out = np.zeros(bits // 8, np.uint8)
-    few = rows.select(column).coalesce(16).mapInArrow(place, "chunk int, bits binary")
-    for r in few.repartition("chunk").mapInArrow(either, "chunk int, bits binary").toLocalIterator():  # CHUNKS rows
+    places = by_batch(rows.select(column), place, "chunk int, at int")
+    for r in places.repartition("chunk").mapInArrow(part, "chunk int, bits binary").collect():  # CHUNKS rows, MOST_BITS at most
         out[r["chunk"] * width // 8 : (r["chunk"] + 1) * width // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out.tobytes()
 
@@ -55,16 +51,19 @@ def bit_places(values: pa.Array, bits: int) -> np.ndarray:
     return (mixed(values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def has_bits(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return (bitmap[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
+def among(bitmap: bytes, values: pa.Array) -> np.ndarray:
+    """Whether each value may be one of those that the bitmap was made from."""
+    bits = np.frombuffer(bitmap, np.uint8)
+    places = bit_places(values, 8 * len(bits))
+    return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
 
 
-def with_bits(rows: DataFrame, column: str, values: DataFrame, name: str, bits: int = ID_BITS) -> DataFrame:
-    """The rows whose value may be among values: a filter before a join, of a fixed size."""
-    shared = rows.sparkSession.sparkContext.broadcast(bits_of(values, name, bits))
+def with_bits(rows: DataFrame, column: str, values: DataFrame, name: str) -> DataFrame:
+    """The rows whose value may be among values (a written table): a filter before a join, of a bounded size."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits_of(values, name))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        return b.filter(pa.array(has_bits(np.frombuffer(shared.value, np.uint8), bit_places(b.column(column), bits))))
+        return b.filter(pa.array(among(shared.value, b.column(column))))
 
     return by_batch(rows, run, rows.schema)
 
@@ -76,10 +75,10 @@ def only_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 def without_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose doc_id is null or not in ids (doc_id, distinct); most never leave their scan."""
-    shared = rows.sparkSession.sparkContext.broadcast(bits_of(ids, "doc_id", ID_BITS))
+    shared = rows.sparkSession.sparkContext.broadcast(bits_of(ids, "doc_id"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        return b.filter(pa.array(~has_bits(np.frombuffer(shared.value, np.uint8), bit_places(b.column("doc_id"), ID_BITS))))
+        return b.filter(pa.array(~among(shared.value, b.column("doc_id"))))
 
     some = with_bits(rows, "doc_id", ids, "doc_id").join(ids, "doc_id", "left_anti").select(rows.columns)
     return by_batch(rows, run, rows.schema).unionByName(some)

@@ -24,12 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, hash_words, mixed, sliding_min, window_hashes, word_lists, written
-from .membership import bit_places, bits_of, has_bits, with_bits
+from .common import by_batch, hash_words, sliding_min, window_hashes, word_lists, written
+from .membership import among, bits_of, with_bits
 
 WIDTH, SEED = 13, 7
-#: Bits of the bitmap of repeated seeds that a scan is told; what it lets through wrongly, the joins drop.
-SEED_BITS = 1 << 26
 
 
 def seeds_of(words: np.ndarray, width: int, seed: int) -> np.ndarray:
@@ -62,12 +60,12 @@ def repeated_seeds(documents: DataFrame, width: int, seed: int) -> DataFrame:
 
 def pieces(documents: DataFrame, seeds: DataFrame, width: int, seed: int) -> DataFrame:
     """Compacted paths whose seed may repeat: doc_id, text_key, start, piece (hash of the sequence), seed, edges."""
-    shared = documents.sparkSession.sparkContext.broadcast(bits_of(seeds, "seed", SEED_BITS))
+    shared = documents.sparkSession.sparkContext.broadcast(bits_of(seeds, "seed"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
         import xxhash
 
-        bitmap = np.frombuffer(shared.value, np.uint8)
+        bitmap = shared.value
         docs, keys, starts, found, seeds, edges = [], [], [], [], [], []
         for doc_id, words in zip(b.column("doc_id").to_pylist(), word_lists(b.column("text")), strict=True):
             if len(words) < width:
@@ -75,7 +73,7 @@ def pieces(documents: DataFrame, seeds: DataFrame, width: int, seed: int) -> Dat
             h = hash_words(words)
             s = seeds_of(h, width, seed)
             first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-            known = has_bits(bitmap, (mixed(s[first]) & np.uint64(SEED_BITS - 1)).astype(np.int64))
+            known = among(bitmap, pa.array(s[first].view(np.int64)))
             if not known.any():
                 continue
             edge = window_hashes(h, width)
@@ -114,11 +112,11 @@ def covered(documents: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataF
     whole = copies.filter("doc_id > source_doc").select("doc_id", "text_key", "start", "n_windows", "source_doc")
     # different pieces of one seed, at their sources
     several = written(sources.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "several")
-    own = with_bits(all_pieces, "seed", several, "seed", SEED_BITS).join(several, "seed", "left_semi")
+    own = with_bits(all_pieces, "seed", several, "seed").join(several, "seed", "left_semi")
     own = own.join(sources.select(*key, F.col("source_doc").alias("doc_id")), [*key, "doc_id"], "left_semi").select("doc_id", "text_key", "start", "edges")
     edges = written(own.select("doc_id", "text_key", "start", F.posexplode("edges").alias("i", "edge")).select("doc_id", "text_key", (F.col("start") + F.col("i")).alias("start"), "edge"), "edges")
     least = written(edges.groupBy("edge").agg(F.min("doc_id").alias("source_doc"), F.max("doc_id").alias("last")).filter("source_doc != last").select("edge", "source_doc"), "least")
-    partly = with_bits(edges, "edge", least, "edge", SEED_BITS).join(least, "edge").filter("doc_id > source_doc").select("doc_id", "text_key", "start", F.lit(1).alias("n_windows"), "source_doc")
+    partly = with_bits(edges, "edge", least, "edge").join(least, "edge").filter("doc_id > source_doc").select("doc_id", "text_key", "start", F.lit(1).alias("n_windows"), "source_doc")
     return whole.unionByName(partly)
 
 
@@ -132,7 +130,7 @@ def deduplicated(documents: DataFrame, width: int = WIDTH, seed: int = SEED, kee
     """Per document: doc_id, n_words, n_removed, kept_sha256 and, where asked for, text (kept words joined by spaces)."""
     found = written(spans(documents, width, seed), "spans")
     touched = found.select("doc_id").distinct()
-    shared = documents.sparkSession.sparkContext.broadcast(bits_of(touched, "doc_id", 1 << 23))
+    shared = documents.sparkSession.sparkContext.broadcast(bits_of(touched, "doc_id"))
     fields = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text
 
     def result(ids: list, texts: Iterator[list[bytes]], gone: list) -> pa.RecordBatch:
@@ -154,7 +152,7 @@ def deduplicated(documents: DataFrame, width: int = WIDTH, seed: int = SEED, kee
 
     def split(inside: bool):
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            is_in = has_bits(np.frombuffer(shared.value, np.uint8), bit_places(b.column("doc_id"), 1 << 23)) & np.array(b.column("doc_id").is_valid())
+            is_in = among(shared.value, b.column("doc_id")) & np.array(b.column("doc_id").is_valid())
             return b.filter(pa.array(is_in == inside))
 
         return run
