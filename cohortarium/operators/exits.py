@@ -28,8 +28,13 @@ def custom_era(ctx: Context, included: DataFrame, strategy: CustomEra) -> DataFr
     drugs = ctx.cdm.table("drug_exposure")
     start = F.col("drug_exposure_start_date").cast("date")
     end = F.date_add(start, strategy.days_supply_override) if strategy.days_supply_override is not None else F.coalesce(F.col("drug_exposure_end_date").cast("date"), F.date_add(start, F.col("days_supply").cast("int")), F.date_add(start, 1))
-    by = [ctx.keep_in(drugs, column, strategy.drug_codeset_id) for column in ("drug_concept_id", "drug_source_concept_id")]
-    taken = by[0].unionByName(by[1]).join(included.select("person_id").distinct(), "person_id", "left_semi")
+    standard, source = "drug_concept_id", "drug_source_concept_id"
+    either = [ctx.is_in(column, strategy.drug_codeset_id) for column in (standard, source)]
+    if any(c is None for c in either):
+        found = ctx.keep_in(drugs, standard, strategy.drug_codeset_id).unionByName(ctx.keep_in(drugs, source, strategy.drug_codeset_id))
+    else:
+        found = drugs.filter(either[0] | either[1])  # eras are the same whether a drug found by both counts once or twice
+    taken = found.join(included.select("person_id").distinct(), "person_id", "left_semi")
     spans = taken.select(F.col("person_id").cast("long").alias("person_id"), start.alias("start_date"), F.date_add(end, strategy.offset).alias("end_date"))
     eras = fold(spans, strategy.gap_days).select(F.col("person_id").alias("_person"), F.col("start_date").alias("_from"), F.col("end_date").alias("_to"))
     on = (F.col("person_id") == F.col("_person")) & F.col("start_date").between(F.col("_from"), F.col("_to"))

@@ -8,14 +8,13 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import Cohort, DateOffset, Group, Primary, from_dict, from_json
+from ..model import Cohort, CustomEra, DateOffset, Group, Primary, from_dict, from_json
 from ..operators import statistics
 from ..operators.context import Context
 from ..operators.correlation import KEYS, group_keys
 from ..operators.eras import fold
 from ..operators.events import COLUMNS, events, with_observation
 from ..operators.exits import censored, custom_era, date_offset, default_end
-from ..operators.vocabulary import codesets
 from ..sources.cdm import Cdm
 
 QUALIFIED = ("event_id", "person_id", "start_date", "end_date", "op_start_date", "op_end_date", "visit_occurrence_id")
@@ -55,7 +54,7 @@ class CohortResult:
     ctx: Context
     expression: Cohort
     cohort_id: int
-    #: qualified events are read by every rule: keep says whether they are stored once ("cache" or "checkpoint") or planned again.
+    #: what several parts of the plan read (qualified events, masks, included events): stored once ("cache" or "checkpoint") or planned again.
     keep: str | None = "cache"
 
     @cached_property
@@ -71,11 +70,17 @@ class CohortResult:
             rows = rows.join(group_keys(self.ctx, rows, group), KEYS, "left_semi")
         if group:
             rows = limited(rows, self.expression.qualified_limit or "First", ["start_date", "event_id"])
-        if self.expression.rules and self.keep == "cache":
-            return rows.cache()
-        if self.expression.rules and self.keep == "checkpoint":
+        return self._kept(rows) if self.expression.rules else rows
+
+    def _kept(self, rows: DataFrame) -> DataFrame:
+        """rows that several parts of the plan read, stored as ``keep`` says."""
+        if self.keep == "checkpoint":
             return rows.checkpoint()
-        return rows
+        return self.ctx.keep(rows) if self.keep == "cache" else rows
+
+    def release(self) -> None:
+        """Gives stored rows back; the result's DataFrames can still be read, but are planned again."""
+        self.ctx.release()
 
     @cached_property
     def inclusion_events(self) -> DataFrame:
@@ -89,7 +94,7 @@ class CohortResult:
     @cached_property
     def masked(self) -> DataFrame:
         """Qualified events with the mask of the rules that they meet."""
-        return statistics.masks(self.qualified, self.inclusion_events, len(self.expression.rules))
+        return self._kept(statistics.masks(self.qualified, self.inclusion_events, len(self.expression.rules)))
 
     @cached_property
     def best_events(self) -> DataFrame:
@@ -103,7 +108,9 @@ class CohortResult:
             rows = rows.join(met, KEYS, "left_semi")
         elif n:
             rows = self.masked.filter(F.col("inclusion_rule_mask") == (1 << n) - 1)
-        return limited(rows.select(*QUALIFIED), self.expression.expression_limit, ["start_date", "event_id"])
+        rows = limited(rows.select(*QUALIFIED), self.expression.expression_limit, ["start_date", "event_id"])
+        several = isinstance(self.expression.end_strategy, CustomEra) or self.expression.censoring
+        return self._kept(rows) if several else rows
 
     @cached_property
     def ends(self) -> list[DataFrame]:
@@ -154,7 +161,7 @@ class CohortEngine:
         self.spark, self.cdm, self.keep = spark, cdm, keep
 
     def context(self, expression: Cohort) -> Context:
-        return Context(self.cdm, codesets(self.cdm, expression.concept_sets))
+        return Context(self.cdm, expression.concept_sets)
 
     def run(self, expression: Cohort | str | dict, cohort_id: int = 1) -> CohortResult:
         if isinstance(expression, str):

@@ -42,6 +42,11 @@ def schema(table: str) -> T.StructType:
     return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (c.split() for c in SCHEMAS[table].split(", "))])
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 class Cdm:
     """Tables by name. A column that a table lacks is null; a table that isn't there has no rows."""
 
@@ -52,7 +57,7 @@ class Cdm:
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, path: str) -> Cdm:
-        return cls(spark, lambda name: spark.read.parquet(f"{path}/{name}.parquet"))
+        return cls(spark, lambda name: spark.read.parquet(f"{path}/{name}.parquet") if _exists(spark, f"{path}/{name}.parquet") else None)
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str) -> Cdm:

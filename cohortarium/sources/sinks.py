@@ -23,10 +23,11 @@ def read(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 
 def write_result(result, path: str, statistics: bool = True) -> None:
-    """The cohort of a CohortResult and, for both modes, its statistics."""
+    """The cohort of a CohortResult and, for both modes, its statistics; then gives back what the result stored."""
     key = {"cohort_definition_id": result.cohort_id}
     replace_rows(result.cohort, path, "cohort", **key)
     if statistics and result.expression.rules:
         for mode in (0, 1):
             for table, rows in (("cohort_inclusion_result", result.inclusion_result(mode)), ("cohort_inclusion_stats", result.inclusion_stats(mode)), ("cohort_summary_stats", result.summary_stats(mode))):
                 replace_rows(rows, path, table, mode_id=mode, **key)
+    result.release()
