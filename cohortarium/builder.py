@@ -109,8 +109,15 @@ class CohortBuilder:
     def first_event_only(self) -> CohortBuilder:
         return self._changed(modifiers.set_limit_to_first_event)
 
-    def exit_at(self, strategy: str, **options) -> CohortBuilder:
-        return self._changed(lambda c: modifiers.set_end_date_strategy(c, strategy, **options))
+    def exit_at(self, strategy: str, offset: int = 0, codeset_id: int | None = None, gap_days: int = 30) -> CohortBuilder:
+        """observation_period, start_date or end_date (with an offset), or drug_era (of a concept set)."""
+        if strategy == "drug_era" and codeset_id is None:
+            raise ValueError("a drug era needs a concept set")
+        options = {
+            "observation_period": {"strategy": "end_of_observation"}, "drug_era": {"strategy": "custom_era", "codeset_id": codeset_id, "gap_days": gap_days, "offset": offset},
+            "start_date": {"strategy": "fixed_duration", "days": offset}, "end_date": {"strategy": "fixed_duration", "days": offset, "date_field": "EndDate"},
+        }
+        return self._changed(lambda c: modifiers.set_end_date_strategy(c, **options.get(strategy, {"strategy": strategy})))
 
     def censor_on(self, event: Event) -> CohortBuilder:
         return self._changed(modifiers.set_censor_event, event.criterion)

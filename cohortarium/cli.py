@@ -29,7 +29,8 @@ def _write(text: str, path: str | None) -> None:
 def _validate(cohort: Cohort, quiet: bool = False) -> int:
     found = check(cohort)
     for f in found:
-        print(f.to_message(), file=sys.stderr)
+        if not quiet or f.severity == CRITICAL:
+            print(f.to_message(), file=sys.stderr)
     if not found and not quiet:
         print("No findings.", file=sys.stderr)
     return 1 if any(f.severity == CRITICAL for f in found) else 2 if found else 0
@@ -51,6 +52,13 @@ def main(argv: list[str] | None = None) -> int:
     for name, text in (("validate", "check an expression"), ("plan", "show Spark's plan"), ("render-markdown", "write it as Markdown"), ("generate-source", "write it as Python"), ("process", "validate, plan and render"), ("run", "write the cohort and its statistics")):
         p = commands.add_parser(name, help=text)
         p.add_argument("expression", help="JSON file, or - for the standard input")
+        if name == "validate":
+            p.add_argument("-q", "--quiet", action="store_true", help="show critical findings only")
+        else:
+            p.add_argument("--no-validate", action="store_true", help="don't stop at critical findings")
+        if name == "process":
+            p.add_argument("--plan-output", help="file of Spark's plan")
+            p.add_argument("--md-output", help="file of the Markdown")
         if name not in ("validate", "run"):
             p.add_argument("-o", "--output")
         if name in ("plan", "process", "run"):
@@ -58,7 +66,7 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("--cohort-id", type=int, default=1)
         if name == "render-markdown":
             p.add_argument("--concept-sets", action="store_true")
-            p.add_argument("--title")
+            p.add_argument("-t", "--title")
         if name == "run":
             p.add_argument("--results", required=True, help="folder of the result tables")
             p.add_argument("--no-statistics", action="store_true")
@@ -66,7 +74,9 @@ def main(argv: list[str] | None = None) -> int:
     try:
         cohort = _read(a.expression)
         if a.command == "validate":
-            return _validate(cohort)
+            return _validate(cohort, a.quiet)
+        if not a.no_validate and a.command != "process" and any(f.severity == CRITICAL for f in check(cohort)):
+            return _validate(cohort, quiet=True)
         if a.command == "render-markdown":
             _write(markdown(cohort, a.title, a.concept_sets), a.output)
         elif a.command == "generate-source":
@@ -75,11 +85,15 @@ def main(argv: list[str] | None = None) -> int:
             plan = _result(cohort, a.cdm, a.cohort_id).cohort._jdf.queryExecution().toString()
             _write(plan, a.output)
         elif a.command == "process":
-            code = _validate(cohort, quiet=True)
+            code = 0 if a.no_validate else _validate(cohort)
             text = markdown(cohort)
-            if a.cdm:
-                text += "\n" + _result(cohort, a.cdm, a.cohort_id).cohort._jdf.queryExecution().toString()
-            _write(text, a.output)
+            plan = _result(cohort, a.cdm, a.cohort_id).cohort._jdf.queryExecution().toString() if a.cdm else ""
+            if a.plan_output:
+                _write(plan, a.plan_output)
+            if a.md_output:
+                _write(text, a.md_output)
+            if not (a.plan_output and a.md_output):
+                _write("\n".join(x for x, f in ((text, a.md_output), (plan, a.plan_output)) if x and not f), a.output)
             return 1 if code == 1 else 0
         elif a.command == "run":
             from .sources.sinks import write_result

@@ -232,6 +232,41 @@ class Cohort:
     def has_end_strategy(self) -> bool:
         return self.end_strategy is not None
 
+    @property
+    def has_additional_criteria(self) -> bool:
+        return self.additional is not None and not self.additional.empty
+
+    @property
+    def has_observation_window(self) -> bool:
+        return self.primary is not None and self.primary.has_window
+
+    @property
+    def primary_criteria_types(self) -> list[str]:
+        return [c.kind for c in self.primary.criteria] if self.primary else []
+
+    @property
+    def censoring_criteria_types(self) -> list[str]:
+        return [c.kind for c in self.censoring]
+
+    @property
+    def end_strategy_type(self) -> str | None:
+        return type(self.end_strategy).__name__ if self.end_strategy is not None else None
+
+    @property
+    def concept_set_ids(self) -> list[int]:
+        return [c.id for c in self.concept_sets if c.id is not None]
+
+    @property
+    def is_complete(self) -> bool:
+        """Whether there are entry criteria and every concept set has a number."""
+        return self.primary is not None and all(c.id for c in self.concept_sets)
+
+    def _repr_markdown_(self) -> str:
+        """What notebooks show."""
+        from .render import markdown
+
+        return markdown(self)
+
     def rule_by_name(self, name: str) -> Rule | None:
         return next((r for r in self.rules if r.name == name), None)
 
@@ -262,6 +297,10 @@ class Cohort:
     def add_censoring(self, criterion: Criterion) -> Cohort:
         return replace(self, censoring=(*self.censoring, criterion))
 
+    def remove_censoring(self, kind: str) -> Cohort:
+        """Without the censoring criteria of a domain."""
+        return replace(self, censoring=tuple(c for c in self.censoring if c.kind != kind))
+
     def clear_censoring(self) -> Cohort:
         return replace(self, censoring=())
 

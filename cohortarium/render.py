@@ -71,29 +71,37 @@ def worded(t: TextFilter) -> str:
     return f'{TEXT_OPS.get((t.op or "").lower(), t.op or "equal to")} "{t.text or ""}"'
 
 
+#: The sentences of a window, by what its two bounds say ("all before, 0 after"); the first that fits.
+WINDOWS = (
+    (r"all before, 0 .*", "anytime on or before {index}"),
+    (r"all before, 1 before", "anytime prior to {index}"),
+    (r"\d+ before, 1 before", "in the {first} days prior to {index}"),
+    (r"all before, (?!1 )\d+ .*", "anytime up to {last} days {last_side} {index}"),
+    (r"[1-9]\d* .*, all after", "{first} days {first_side} {index}"),
+    (r".*", "between {first} days {first_side} and {last} days {last_side} {index}"),
+)
+#: A moved date, by the sign of its days; the sentence, by whether both dates start from the same one.
+MOVED = {-1: "{} days before", 0: "on", 1: "{} days after"}
+ADJUSTED = {True: "starting {start} and ending {end} the event {end_date}", False: "starting {start} the event {start_date} and ending {end} the event {end_date}"}
+#: Ages, by whether one is asked for at the start and at the end.
+AGES = {(False, False): "", (True, False): "{} years old", (False, True): "{1} years old at era end", (True, True): "{} years old at era start and {} years old at era end"}
+
+
 def window(w: Window, index: str, event_end: bool) -> str:
-    which = f"{index} {'end date' if w.use_index_end else 'start date'}"
-    a, b = w.start, w.end
-    start, end = (a.days if a else None), (b.days if b else None)
-    low, high = (a.coeff if a else 1), (b.coeff if b else 1)
-    side = lambda coeff: "before" if coeff < 0 else "after"
-    if start is None and end == 0 and low == -1:
-        when = f"anytime on or before {which}"
-    elif end == 1 and low == -1 and high == -1:
-        when = (f"in the {number(start)} days" if start is not None else "anytime") + f" prior to {which}"
-    elif start is None and (end or 0) > 1 and low == -1:
-        when = f"anytime up to {number(end)} days {side(high)} {which}"
-    elif end is None and (start or 0) > 0 and high == 1:
-        when = f"{number(start)} days {side(low)} {which}"
-    else:
-        when = f"between {'all' if start is None else number(start)} days {side(low)} and {'all' if end is None else number(end)} days {side(high)} {which}"
-    return f"{'ending' if event_end else 'starting'} {when}"
+    says = {}
+    for name, bound in (("first", w.start), ("last", w.end)):
+        says[name] = "all" if bound is None or bound.days is None else str(bound.days)
+        says[f"{name}_side"] = "before" if bound is not None and bound.coeff < 0 else "after"
+    both = "{first} {first_side}, {last} {last_side}".format(**says)
+    sentence = next(text for pattern, text in WINDOWS if re.fullmatch(pattern, both))
+    says |= {k: number(says[k]) for k in ("first", "last")}
+    return f"{'ending' if event_end else 'starting'} " + sentence.format(index=f"{index} {'end' if w.use_index_end else 'start'} date", **says)
 
 
 def adjustment(a: DateAdjustment) -> str:
-    part = lambda n: f"{abs(n)} days {'before' if n < 0 else 'after'}" if n else "on"
-    name = lambda x: x.lower().replace("_", " ")
-    return f"starting {part(a.start_offset)}" + (f" the event {name(a.start_with)}" if a.start_with != a.end_with else "") + f" and ending {part(a.end_offset)} the event {name(a.end_with)}"
+    start, end = (MOVED[(n > 0) - (n < 0)].format(abs(n)) for n in (a.start_offset, a.end_offset))
+    start_date, end_date = (x.replace("_", " ").lower() for x in (a.start_with, a.end_with))
+    return ADJUSTED[a.start_with == a.end_with].format(start=start, end=end, start_date=start_date, end_date=end_date)
 
 
 def period(p: Period) -> str:
@@ -117,20 +125,14 @@ class Renderer:
 
     # parts of a criterion
     def people(self, c: Criterion | Demographic) -> str | None:
-        get = c.get if isinstance(c, Criterion) else (lambda n: getattr(c, n, None))
-        start, end, gender, cs = get("age_at_start") or get("age"), get("age_at_end"), get("gender"), get("gender_cs")
-        if not (start or end or gender or cs):
-            return None
-        parts = []
-        if gender:
-            parts.append(concepts(gender, "") + ("," if (start or end) and len(gender) > 1 else ""))
-        elif cs:
-            parts.append(f"gender {self.selection(cs)}" + ("," if start or end else ""))
-        if start:
-            parts.append(f"{numeric(start)} years old" + (" at era start and" if end else ""))
-        if end:
-            parts.append(f"{numeric(end)} years old at era end")
-        return "who are " + " ".join(parts)
+        asked = dict(c.attributes) if isinstance(c, Criterion) else vars(c)
+        ages = [asked.get("age_at_start") or asked.get("age"), asked.get("age_at_end")]
+        aged = AGES[tuple(map(bool, ages))].format(*(numeric(r) if r else "" for r in ages))
+        genders, chosen = asked.get("gender") or (), asked.get("gender_cs")
+        who = concepts(genders, "") if genders else f"gender {self.selection(chosen)}" if chosen else ""
+        listing = len(genders) != 1  # a list or a set ends with a comma before the ages
+        said = (", " if listing else " ").join(x for x in (who, aged) if x)
+        return f"who are {said}" if said else None
 
     def when(self, c: Criterion) -> str | None:
         ranges = [(a.phrase, c.get(a.name)) for a in c.domain.attributes if a.kind == "date" and a.phrase and c.get(a.name)]
@@ -159,13 +161,11 @@ class Renderer:
         return None
 
     def around(self, k: Correlated, index: str) -> str | None:
-        parts = []
-        for w, end in ((k.start_window, k.start_window is not None and k.start_window.use_event_end is True), (k.end_window, k.end_window is not None and k.end_window.use_event_end is not False)):
-            if w and ((w.start and w.start.days is not None) or (w.end and w.end.days is not None)):
-                parts.append(window(w, index, end))
-        rest = ["at same visit as " + index] * k.restrict_visit + ["allow events outside observation period"] * k.ignore_observation_period
-        out = " and ".join(parts)
-        return (out + ("; " if out and rest else "") + " and ".join(rest)) or None
+        """The windows (the first is of the event's start unless it says otherwise, the second of its end), then the rest."""
+        bounded = [(w, w.use_event_end if w.use_event_end is not None else ends) for w, ends in ((k.start_window, False), (k.end_window, True)) if w and any(b is not None and b.days is not None for b in (w.start, w.end))]
+        flags = {f"at same visit as {index}": k.restrict_visit, "allow events outside observation period": k.ignore_observation_period}
+        said = [" and ".join(window(w, index, ends) for w, ends in bounded), " and ".join(text for text, on in flags.items() if on)]
+        return "; ".join(filter(None, said)) or None
 
     def criterion(self, c: Criterion, level: int = 0, plural: bool = True, around: Correlated | None = None, index: str = "cohort entry") -> str:
         d, first = c.domain, bool(c.get("first"))
@@ -216,7 +216,7 @@ class Renderer:
     def strategy(self, s: DateOffset | CustomEra | None) -> str:
         days = lambda n: f"{n} day" + ("" if n == 1 else "s")
         if s is None:
-            return "The person exits the cohort at the end of continuous observation."
+            return "The person exits the cohort at the end of continuous observation."  # fixed value, as the sentences below
         if isinstance(s, DateOffset):
             field = {"StartDate": "start date", "EndDate": "end date"}.get(s.date_field, s.date_field)
             return f"The cohort end date will be offset from index event's {field} plus {days(s.offset)}."

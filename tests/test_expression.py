@@ -1,5 +1,6 @@
 """Reading, writing, checks, Markdown, code, modifiers, builder and command line."""
 
+import dataclasses
 import json
 
 import pytest
@@ -132,24 +133,44 @@ def test_modifiers():
     assert not m.reset_observation_window(c).primary.has_window
     assert m.set_limit_to_first_event(c).primary.limit == "First" and m.set_allow_all_events(c).expression_limit == "All"
     assert m.set_cohort_era(c, 9).collapse.era_pad == 9 and m.reset_collapse_settings(m.set_cohort_era(c, 9)).collapse.era_pad == 0
+    limited = m.set_allow_all_events(dataclasses.replace(c, qualified_limit="Last"))
+    assert (limited.qualified_limit, limited.primary.limit) == ("Last", "All")
+    asked = len(c.additional.demographics) if c.additional else 0
     aged = m.set_gender_criteria(m.set_age_criteria(m.set_age_criteria(c, 18), 18, 65), "female")
-    assert len(aged.rules) == 2 and m.reset_gender_criteria(m.reset_age_criteria(aged)).rules == ()
-    assert m.set_end_date_strategy(c, "drug_era", 1, 3).end_strategy == model.CustomEra(3, 30, 1) and m.reset_end_strategy(c).end_strategy is None
+    assert len(aged.additional.demographics) == asked + 3 and aged.rules == c.rules
+    assert len(m.set_age_criteria(aged, high=9, replacing=True).additional.demographics) == asked + 2
+    assert [d.gender[0].concept_name for d in m.set_gender_criteria(aged, 8507, replacing=True).additional.demographics if d.gender] == ["MALE"]
+    assert not any(d.age or d.gender for d in m.reset_gender_criteria(m.reset_age_criteria(aged)).additional.demographics)
+    assert m.set_age_criteria(model.Cohort(), 3).additional == model.Group("ALL", demographics=(model.Demographic(age=model.Range("gte", 3)),))
+    assert m.set_end_date_strategy(c, "custom_era", codeset_id=3, gap_days=30, offset=1).end_strategy == model.CustomEra(3, 30, 1) and m.reset_end_strategy(c).end_strategy is None
+    assert m.set_end_date_strategy(c, "Fixed-duration", 7, "EndDate").end_strategy == model.DateOffset("EndDate", 7) and m.set_end_date_strategy(c, "end_of_observation").end_strategy is None
     assert m.set_clean_window(c, 10).has_exclusion_rules and m.set_clean_window(c, 10, "all").rules[0].expression.type == "ANY"
     assert not m.reset_clean_window(m.set_clean_window(c, 10)).rules
-    assert m.set_washout_period(c, 100).is_first_event
+    washed = m.set_washout_period(m.set_allow_all_events(c), 100)
+    assert washed == m.set_prior_observation(m.set_allow_all_events(c), 100) and not washed.is_first_event
     assert m.set_date_range(c, "2020-01-01").censor_window.start_date == "2020-01-01" and m.reset_date_range(c).censor_window is None
     assert m.clear_censor_events(m.set_censor_event(c, model.Criterion("Death"))).censoring == ()
     assert m.apply_standard_rules(c).primary.prior_days == 365
-    for bad in (lambda: m.set_age_criteria(c), lambda: m.set_age_criteria(c, 9, 3), lambda: m.set_prior_observation(c, -1), lambda: m.set_gender_criteria(c), lambda: m.set_end_date_strategy(c, "x"), lambda: m.set_date_range(c, "2021", "2020")):
+    all_of = m.apply_standard_rules(model.Cohort(primary=c.primary), 10, 5, False, 3, 18, 65, 8532, "fixed_duration", 30)
+    assert (all_of.primary.post_days, all_of.primary.limit, all_of.collapse.era_pad, len(all_of.additional.demographics), all_of.end_strategy.offset) == (5, "All", 3, 2, 30)
+    for bad in (lambda: m.set_age_criteria(c), lambda: m.set_age_criteria(c, 9, 3), lambda: m.set_prior_observation(c, -1), lambda: m.set_gender_criteria(c), lambda: m.set_end_date_strategy(c, "x"), lambda: m.set_date_range(c, "2021", "2020"), lambda: m.set_date_range(c), lambda: m.set_clean_window(c, 0), lambda: m.set_clean_window(model.Cohort(), 5), lambda: m.set_end_date_strategy(c, "fixed_duration")):
         with pytest.raises(ValueError):
             bad()
 
 
+def test_introspection():
+    c = dataclasses.replace(model.from_dict(expression()), censoring=(model.Criterion("Death"), model.Criterion("VisitOccurrence")))
+    assert c.primary_criteria_types == ["ConditionOccurrence"] and c.concept_set_ids == [x.id for x in c.concept_sets] and c.is_complete
+    assert c.censoring_criteria_types == ["Death", "VisitOccurrence"] and c.remove_censoring("Death").censoring_criteria_types == ["VisitOccurrence"]
+    assert modifiers.set_end_date_strategy(c, "custom_era").end_strategy_type == "CustomEra" and model.Cohort().end_strategy_type is None
+    assert not model.Cohort().is_complete and not model.Cohort().has_observation_window and not model.Cohort().has_additional_criteria
+    assert c._repr_markdown_() == render.markdown(c)
+
+
 def test_builder():
     b = builder.CohortBuilder("t").with_concept_sets(builder.concept_set(1, "one", 5)).enter_on(builder.event("ConditionOccurrence", 1))
     c = b.require(builder.event("DrugExposure", 1).within_days_before(30).at_least(2)).exclude(builder.event("Death").anytime_before()).require_age(18).first_event_only().with_observation(365).collapse_within(3).exit_at("start_date", offset=7).between("2020-01-01").build()
-    assert [r.name for r in c.rules] == ["requires drug exposure", "excludes death", modifiers.AGE_RULE]
+    assert [r.name for r in c.rules] == ["requires drug exposure", "excludes death"] and c.additional.demographics[0].age.value == 18
     assert c.primary.prior_days == 365 and c.end_strategy == model.DateOffset("StartDate", 7) and c.exclusion_count() == 1
     with pytest.raises(ValueError):
         builder.CohortBuilder().build()

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from cohortarium.plans import queries
+from cohortarium.plans import attribute_queries, queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
