@@ -1,8 +1,12 @@
 """Secret scans: base patterns, and an assignment-aware lexer over source and configuration syntax.
 
-The lexer reads name-literal pairs (``name = "literal"``, ``name: literal``, ``export NAME=literal``, JSON members,
-``set name literal``), follows names that stand for constants (``KEY = "..."`` then ``password = KEY``) and scores
-each literal by how sensitive its target names are and how random it looks.
+The lexer reads name-literal pairs: ``name = "literal"`` (also in triple quotes, in parts joined by +, or behind := and
+=>), ``name: literal``, JSON members, ``export NAME=literal``, ``set name literal``, XML attributes and elements, and
+YAML blocks; a comparison is no assignment. It follows names that stand for constants (``KEY = "..."`` then ``password
+= KEY``; a name assigned more than once stands for all its values) and scores each literal by how sensitive its target
+names are against the bits that its signs hold: the more sensitive the name, the fewer bits do. A bare word without a
+digit is a literal only as the whole value of a configuration line, and a quoted sentence without a digit only under a
+name for phrases.
 
 Defined results: a null or empty text has no span; texts are scanned whole; equal texts give equal spans; an empty
 table gives no rows; extra columns are kept by ``redact`` and ignored by ``scan``.
@@ -31,10 +35,21 @@ SENSITIVE = {
     "token": 2, "credential": 2, "credentials": 2, "auth": 2, "authorization": 2, "bearer": 2, "signature": 1, "key": 1, "pass": 1, "pin": 1,
 }
 #: Literals that stand for no secret.
-PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|undefined|changeme|example|placeholder|your[_-].*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s)$")
+PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|undefined|required|optional|string|change_?me|example|placeholder|your[_-].*|<.*>|\$\{.*\}|\$\w+|\{\{.*\}\}|%\(.*\)s|[a-z]+://\S*)$")
+#: Bits that a literal needs by its name's sensitivity: quoted or marked otherwise, and bare.
+BITS = {3: (18, 30), 2: (28, 40), 1: (48, 56)}
+_QUOTED = r"""[bru]{0,2}(?:(?P<triple>\"{3}|'{3})(?P<block>.*?)(?P=triple)|(?P<quote>["'`])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote))"""
 _PAIR = re.compile(
-    r"""(?<![\w.$-])(?:(?:export|set|const|let|var|final|static|string|str|define)[ \t]+)*["']?(?P<name>[A-Za-z_$][\w.$-]*+)["']?[ \t]*(?P<op>:=|=>|==?|:)[ \t]*"""
-    r"""(?:[bru]{0,2}(?P<quote>["'`])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote)|(?P<bare>[^\s"'`,;(){}\[\]<>#]+))""", re.ASCII)
+    r"""(?<![\w.$-])(?:(?:export|set|const|let|var|final|static|string|str|define)[ \t]+){0,4}["']?(?P<name>[A-Za-z_$][\w.$-]*+)["']?[ \t]*(?P<op>:=|=>|=(?!=)|:(?!:))[ \t]*"""
+    rf"""(?:{_QUOTED}|(?P<bare>[^\s"'`,;(){{}}\[\]<>#=][^\s"'`,;(){{}}\[\]<>#]*))""", re.ASCII | re.S)
+#: The next part of a literal that is joined by +.
+_MORE = re.compile(r"""\s*\+\s*(?P<quote>["'`])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote)""")
+_SET = re.compile(r"""^[ \t]*set(?:env)?[ \t]+(?P<name>[A-Za-z_][\w.-]*+)[ \t]+(?P<quote>["']?)(?P<value>[^\s"'=:]++)(?P=quote)[ \t]*$""", re.M | re.ASCII)
+_ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.:-]*+)(?:\s[^<>]*)?>\s*(?P<value>[^<>\s](?:[^<>]*[^<>\s])?)\s*</(?P=name)\s*>", re.ASCII)
+_BLOCK = re.compile(r"""^(?P<indent>[ ]*+)(?:- )?["']?(?P<name>[A-Za-z_][\w.-]*+)["']?[ ]*:[ ]*[|>][+-]?\d?[ ]*\n(?P<value>(?:(?P=indent)[ ]+[^ \n][^\n]*(?:\n|\Z))+)""", re.M | re.ASCII)
+#: What stands before a pair and after it on a configuration line.
+_BEFORE = re.compile(r"[ \t]*(?:export[ \t]+|-[ \t]+)?")
+_AFTER = re.compile(r"[ \t]*(?:#[^\n]*)?(?:\r?\n|\Z)")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -44,12 +59,23 @@ def sensitivity(name: str) -> int:
     return max((SENSITIVE.get(p, 0) for p in parts + both), default=0)
 
 
-def randomness(literal: str) -> float:
-    """Bits a sign of the literal's own distribution, and half a bit for every class of signs beyond the first."""
+def bits(literal: str) -> float:
+    """Bits that the literal's signs hold by their own distribution, a quarter more for every class of signs beyond the first."""
     n = len(literal)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(literal).values()) if n else 0.0
-    classes = sum(map(bool, (re.search("[a-z]", literal), re.search("[A-Z]", literal), re.search("[0-9]", literal), re.search(r"[^A-Za-z0-9]", literal))))
-    return bits + 0.5 * max(0, classes - 1)
+    held = -sum(c * math.log2(c / n) for c in Counter(literal).values()) if n else 0.0
+    classes = sum(map(bool, (re.search("[a-z]", literal), re.search("[A-Z]", literal), re.search("[0-9]", literal), re.search(r"[^A-Za-z0-9\s]", literal))))
+    return held * (1 + 0.25 * max(0, classes - 1))
+
+
+def secret(literal: str, weight: int, marked: bool, whole: bool, phrase: bool) -> bool:
+    """Whether a literal under a name of this sensitivity is a secret.
+
+    marked: by quotes or an element; whole: the whole value of a configuration line; phrase: the name is for phrases.
+    """
+    digit = re.search(r"[0-9]", literal) is not None
+    if PLACEHOLDERS.match(literal) or (marked and not digit and not phrase and re.search(r"\s", literal)) or (not marked and not digit and not whole):
+        return False
+    return bits(literal) >= BITS[weight][not marked]
 
 
 def reached(names: list[str], edges: dict, seen: set[str]) -> set[str]:
@@ -63,46 +89,57 @@ def reached(names: list[str], edges: dict, seen: set[str]) -> set[str]:
     return out
 
 
-def lex(text: str, least: float = 4.0) -> list[tuple[int, int]]:
-    """Places of literals whose targets and looks together score ``least`` or more."""
-    pairs = []
+def pairs(text: str) -> list[tuple[str, str, tuple[tuple[int, int], ...], bool, bool]]:
+    """(name, literal, its parts' places, whether quotes or the like mark it, whether it is a configuration line's value)."""
+    out = []
     for m in _PAIR.finditer(text):
-        group = "quoted" if m["quote"] else "bare"
-        pairs.append((m["name"], m[group], *m.span(group), m["quote"] is not None))
-    if not pairs:
-        return []
-    constants: dict[str, list[tuple[str, int, int]]] = {}
-    for name, value, start, stop, quoted in pairs:
-        if quoted or not re.fullmatch(r"[A-Za-z_$][\w.$]*", value, re.ASCII):
-            constants.setdefault(name, []).append((value, start, stop))
-    names = {name for name, *_ in pairs}
+        if m["bare"] is not None:
+            before = text[max(0, m.start() - 200) : m.start()].rpartition("\n")[2]
+            tight = m["op"] == ":" or text[m.start("op") - 1] not in " \t" and text[m.end("op")] not in " \t"
+            whole = tight and len(before) < 200 and _BEFORE.fullmatch(before) is not None and _AFTER.match(text, m.end()) is not None
+            out.append((m["name"], m["bare"], (m.span("bare"),), False, whole))
+            continue
+        group = "block" if m["triple"] else "quoted"
+        value, places, at = m[group], [m.span(group)], m.end()
+        while more := _MORE.match(text, at):
+            value, at = value + more["quoted"], more.end()
+            places.append(more.span("quoted"))
+        out.append((m["name"], value, tuple(places), True, False))
+    if "set" in text:
+        out += [(m["name"], m["value"], (m.span("value"),), bool(m["quote"]), True) for m in _SET.finditer(text)]
+    if "</" in text:
+        out += [(m["name"], m["value"], (m.span("value"),), True, False) for m in _ELEMENT.finditer(text)]
+    if "|" in text or ">" in text:
+        for m in _BLOCK.finditer(text):
+            value = m["value"]
+            start = m.start("value") + len(value) - len(value.lstrip())
+            out.append((m["name"], "".join(value.split()), ((start, m.start("value") + len(value.rstrip())),), True, False))
+    return out
+
+
+def lex(text: str) -> list[tuple[int, int]]:
+    """Places of the literals that are secrets by their targets."""
+    found = pairs(text)
+    names = {name for name, *_ in found}
+    constants: dict[str, list[tuple]] = {}
     stands_for: dict[str, set[str]] = {}
-    for name, value, _, _, quoted in pairs:
-        if not quoted and value in names and value != name:
-            stands_for.setdefault(name, set()).add(value)
-    stood_for: dict[str, list[str]] = {}
-    for name, values in stands_for.items():
-        for value in values:
-            stood_for.setdefault(value, []).append(name)
-    leads = reached(list(constants), stood_for, set())
-    weights = [sensitivity(name) for name, *_ in pairs]
-    score: dict[tuple[int, int], int] = {}
-    literal: dict[tuple[int, int], str] = {}
+    for name, value, places, marked, whole in found:
+        if not marked and value in names:
+            if value != name:
+                stands_for.setdefault(name, set()).add(value)
+        else:
+            constants.setdefault(name, []).append((value, places, marked, whole))
+    out: set[tuple[int, int]] = set()
     seen: set[str] = set()
-    for weight in sorted({w for w in weights if w}, reverse=True):
-        mine = [p for p, w in zip(pairs, weights, strict=True) if w == weight]
-        places = [(value, start, stop) for _, value, start, stop, _ in mine if value not in leads]
-        for name in reached([value for _, value, *_ in mine if value in leads], stands_for, seen):  # names that stand for names
-            places += constants.get(name, [])
-        for v, a, b in places:
-            score[a, b] = max(score.get((a, b), 0), weight)
-            literal[a, b] = v
-    found = []
-    for (a, b), weight in score.items():
-        v = literal[a, b]
-        if len(v) >= 8 and not PLACEHOLDERS.match(v) and re.search(r"[0-9]", v) and not v.isdigit() and not re.match(r"[a-z]+://", v) and weight + randomness(v) / 2 >= least:
-            found.append((a, b))
-    return sorted(found)
+    for weight in sorted(BITS, reverse=True):
+        mine = [name for name in names if sensitivity(name) == weight]
+        for start in mine:  # of a name that several targets lead to, the most sensitive one counts
+            phrase = "phrase" in start.lower()
+            for name in reached([start], stands_for, seen if not phrase else set()):
+                for value, places, marked, whole in constants.get(name, ()):
+                    if secret(value, weight, marked, whole, phrase):
+                        out.update(places)
+    return sorted(out)
 
 
 def spans(text: str) -> list[tuple[int, int, int]]:
@@ -114,7 +151,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    if "=" in text or ":" in text:
+    if "=" in text or ":" in text or "</" in text or "set" in text:
         found += [(a, 3, b) for a, b in lex(text)]
     return sorted(found)
 
