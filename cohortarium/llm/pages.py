@@ -22,6 +22,7 @@ are ignored.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import by_batch, small_batches
 
-#: Runs of pages for each shuffle partition.
-RUNS = 4
+#: Pages of a run, at least, and runs, at most (the driver holds the ends of each); runs of a task, about.
+RUN_PAGES, MOST_RUNS, TASK_RUNS = 512, 200_000, 2
 #: Pages that share this part of either's text are copies of each other.
 COPY = 0.9
 
@@ -45,11 +46,15 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math textarea title".split())
-#: Parts of class names, ids and roles of regions that aren't main text.
-BOILER = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer footnav gdpr "
-    "header masthead menu menubar modal nav navbar navigation newsletter notice notices popup promo promoted recommended related share sharing sidebar "
-    "signup social sponsor sponsored subscribe subscription toolbar topbar widget complementary contentinfo".split())
+#: Parts of class names, ids and roles of regions that aren't main text: words that say so wherever they stand, words that
+#: say so beside words of layout only (a site-header, but not a post-header), and those words of layout.
+SURE = frozenset(
+    "advert adverts advertisement advertising breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer footnav gdpr masthead "
+    "menubar nav navbar navigation newsletter popup promo promoted recommended sidebar signup sponsor sponsored subscribe subscription toolbar topbar contentinfo".split())
+UNSURE = frozenset("ad ads banner header menu modal notice notices related share sharing social widget complementary".split())
+LAYOUT = frozenset(
+    "area articles bar block body bottom box button buttons center column container content fixed global group head icons inner item items left line link links "
+    "list main mobile outer page pages panel posts primary right row secondary section site slot sticky stories sub top unit wide wrap wrapper".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|aria-label|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -61,20 +66,56 @@ CONTAINERS = frozenset("article aside blockquote body details dialog div dl fiel
 Line = tuple[str, bool, bool]
 
 
+def boiler_name(name: str, whole: bool) -> bool:
+    """Whether a class, id or role names a region that isn't main text; if whole, only a word alone does."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    if whole or len(words) == 1:
+        return name.lower() in SURE or name.lower() in UNSURE
+    return any(w in SURE for w in words) or (any(w in UNSURE for w in words) and all(w in UNSURE or w in LAYOUT for w in words))
+
+
 def boiler_attributes(attributes: str, whole: bool = False) -> bool:
-    """Whether a class, id or role has a word of BOILER in it or, if whole, is one."""
     for name, a, b, c in _NAMED.findall(attributes):
         if name.lower() == "hidden":
             return True
-        if name.lower() != "aria-label" and any(w.lower() in BOILER for w in ((a or b or c).split() if whole else _WORDS.findall(a or b or c))):
+        if name.lower() != "aria-label" and any(boiler_name(w, whole) for w in (a or b or c).split()):
             return True
     return False
 
 
+class Open:
+    """The elements that are open, with the places of each name's and of containers at hand."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool]] = []  # element, article, skipped
+        self.places: dict[str, list[int]] = {}
+        self.containers: list[int] = []
+
+    def push(self, tag: str, article: bool, skipped: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in CONTAINERS:
+            self.containers.append(len(self.stack))
+        self.stack.append((tag, article, skipped))
+
+    def cut(self, i: int) -> None:
+        """Closes the elements from place i on."""
+        for tag, *_ in reversed(self.stack[i:]):
+            self.places[tag].pop()
+            if tag in CONTAINERS:
+                self.containers.pop()
+        del self.stack[i:]
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        """The place of the last open element of these, -1 if there is none inside the last container."""
+        i = max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+        return i if not self.containers or i >= self.containers[-1] else -1
+
+
 def lines(page: str) -> list[Line]:
     """The page's block lines in order: (text, inside an article or main element, in a region that isn't main text)."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, article, skipped
+    opened = Open()
+    stack = opened.stack
     buffer: list[str] = []
     at = 0
 
@@ -90,7 +131,7 @@ def lines(page: str) -> list[Line]:
     def leave(i: int) -> None:
         if any(e[0] in BLOCK or e[2] for e in stack[i:]):
             flush()
-        del stack[i:]
+        opened.cut(i)
 
     while at < len(page):
         m = _TAG.search(page, at)
@@ -103,9 +144,9 @@ def lines(page: str) -> list[Line]:
             continue
         tag = m[2].lower()
         if m[1]:
-            i = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if i is not None and (tag in CONTAINERS or not any(e[0] in CONTAINERS for e in stack[i + 1 :])):
-                leave(i)
+            own = opened.places.get(tag)
+            if own and (tag in CONTAINERS or not opened.containers or opened.containers[-1] < own[-1]):
+                leave(own[-1])
             continue
         if tag == "br":
             buffer.append(" ")
@@ -120,17 +161,12 @@ def lines(page: str) -> list[Line]:
         if tag in BLOCK or tag in SKIP:
             flush()
             if tag in CLOSES or tag in CONTAINERS:
-                closes = CLOSES.get(tag, ("p",))
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in closes:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in CONTAINERS:
-                        break
+                if (k := opened.last(CLOSES.get(tag, ("p",)))) >= 0:
+                    opened.cut(k)
         article, skipped = state()
         boiler = tag in SKIP or (tag == "header" and not article) or (tag in BLOCK and tag not in ("body", "html", "main") and boiler_attributes(m[3], tag == "article"))
         if not (m[3].endswith("/") and tag not in BLOCK):
-            stack.append((tag, article or tag in ("article", "main"), skipped or boiler))
+            opened.push(tag, article or tag in ("article", "main"), skipped or boiler)
     flush()
     return out
 
@@ -148,24 +184,43 @@ def shared_lines(mine: list[str], other: list[str]) -> set[int]:
     common = set(a) & set(b)
     rows = [i for i, x in enumerate(a) if x in common]
     b = [x for x in b if x in common]
-    if not rows:
-        return found
-    best = [[0] * (len(b) + 1)]
-    for i in rows:
-        last, row = best[-1], [0]
-        for j, y in enumerate(b):
-            row.append(last[j] + 1 if a[i] == y else max(last[j + 1], row[j]))
-        best.append(row)
-    i, j = len(rows), len(b)
+    return found | {start + rows[i] for i, _ in common_subsequence([a[i] for i in rows], b)}
+
+
+def common_subsequence(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """The pairs (i, j) of a longest common subsequence, the last first.
+
+    Row by row as bits (0 where a row's length grows); every so many rows are kept and the rest made again, so that
+    memory follows the root of the number of rows.
+    """
+    places: dict[str, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    full, step, out = (1 << len(b)) - 1, math.isqrt(len(a)) + 1, []
+
+    def rows(first: int, last: int, row: int) -> Iterator[int]:
+        for x in a[first:last]:
+            if shared := row & places.get(x, 0):
+                row = ((row + shared) | (row - shared)) & full
+            yield row
+
+    kept = [full]
+    for i, row in enumerate(rows(0, len(a), full), 1):
+        if i % step == 0:
+            kept.append(row)
+    i, j, base, block = len(a), len(b), len(a) + 1, [full]
     while i and j:
-        if a[rows[i - 1]] == b[j - 1]:
-            found.add(start + rows[i - 1])
+        if i <= base or i - base >= len(block):
+            base = (i - 1) // step * step
+            block = [kept[base // step], *rows(base, min(base + step, len(a)), kept[base // step])]
+        if block[i - base] >> (j - 1) & 1:
+            j -= 1
+        elif block[i - 1 - base] >> (j - 1) & 1:
+            out.append((i - 1, j - 1))
             i, j = i - 1, j - 1
-        elif best[i - 1][j] >= best[i][j - 1]:
-            i -= 1
         else:
-            j -= 1
-    return found
+            i -= 1
+    return out
 
 
 def copies(page: list[Line], other: list[Line]) -> bool:
@@ -230,8 +285,9 @@ def extract(pages: DataFrame) -> DataFrame:
     small_batches(spark)
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"), path.alias("path"))
-    runs = RUNS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = spark.sparkContext.broadcast(run_ends(rows, max(16, -(-pages.count() // runs))))  # about ``runs`` rows
+    ends = run_ends(rows, max(RUN_PAGES, -(-pages.count() // MOST_RUNS)))
+    shared = spark.sparkContext.broadcast(ends)  # MOST_RUNS rows and one a partition, about
+    tasks = max(1, len(ends) // TASK_RUNS)
 
     def deal(b: pa.RecordBatch) -> pa.RecordBatch:
         firsts, lasts = [x[0] for x in shared.value], [x[1] for x in shared.value]
@@ -275,7 +331,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield _texts(out)
 
     dealt = by_batch(rows, deal, "page_id long, url string, html string, host string, path string, run long, own boolean")
-    dealt = dealt.repartition("run").sortWithinPartitions("run", "host", "path", "url", "page_id", "html")
+    dealt = dealt.repartition(tasks, "run").sortWithinPartitions("run", "host", "path", "url", "page_id", "html")
     return dealt.select("run", "own", "page_id", "url", "host", "html").mapInArrow(compare, "page_id long, url string, text string, n_chars long")
 
 

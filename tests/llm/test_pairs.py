@@ -331,3 +331,23 @@ def test_pipeline_odd_rows(spark, odd_documents, no_documents, tmp_path):
         spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
         spark.createDataFrame([(1, "nothing like this is anywhere")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
         corpus_pipeline.run(spark, folder).collect()
+
+
+def test_names_of_regions():
+    for name in ("sidebar", "user-comments", "siteHeader", "ad-slot", "related-posts", "share_buttons", "cookie-bar", "nav", "menu top"):
+        assert pages.boiler_attributes(f' class="{name}"'), name
+    for name in ("post-header", "related-work", "ad-free-note", "noticed", "header-image-of-article", "shared-memory", "adsorption"):
+        assert not pages.boiler_attributes(f' class="{name}"'), name
+
+
+def test_long_pages_take_linear_time_and_little_memory():
+    import time
+
+    for page in ("<b>" * 20_000 + "</i>" * 20_000, "<b>" * 20_000 + "<div></div>" * 20_000, "<p><b>" * 20_000, "<div>" * 20_000 + "</span>" * 20_000, "<td>" * 20_000 + "x"):
+        began = time.process_time()
+        pages.lines(page)
+        assert time.process_time() - began < 6, page[:10]
+    a, b = [f"x{i % 7000}" for i in range(12_000)], [f"x{i * 7 % 7000}" for i in range(12_000)]
+    began = time.process_time()
+    found = pages.common_subsequence(a, b)
+    assert time.process_time() - began < 30 and all(a[i] == b[j] for i, j in found) and all(x > y and v > w for (x, v), (y, w) in zip(found, found[1:]))
