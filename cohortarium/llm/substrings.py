@@ -1,18 +1,16 @@
 """Substring dedup by compacted paths of the de Bruijn graph of token k-mers.
 
-The graph's edges are the windows of WIDTH consecutive words, its nodes the WIDTH - 1 words that two of them share. Only
-edges that can repeat are kept: a window's seed is the smallest hash among the SEED-word sequences in it, equal windows
-have equal seeds, and a seed that occurs in one document only rules its windows out. Edges that follow each other and
-share a seed are one piece, an edge of the graph between two nodes that the words themselves define. Joins of the
-pieces find, for each, its source: its first place in the smallest document that has it. The degrees of the nodes of
-repeated pieces are counted, and pieces that meet in a node with one piece in and one out compact, by joins, into paths
-with a source of their own. Pieces that differ share edges only if they share their seed (a passage that begins or ends
-inside them): there, the edges are joined one by one with the smallest document that has them.
-
-Covered pieces and edges that follow each other in a text and at their source become long spans with source
-coordinates. The words at the source are digested and every span's own words are compared with that before they are
-taken out; should hashes have collided, the span's windows are decided by their words themselves. So results don't
-depend on hashes.
+The graph's edges are the windows of WIDTH consecutive words. Only edges that can repeat are kept: a window's seed is
+the smallest hash among the SEED-word sequences in it, equal windows have equal seeds, and a seed that occurs in one
+document only rules its windows out. Edges that follow each other and share a seed form a path without a branch
+between two nodes that the words themselves define; it is compacted into one piece, known by a hash of its whole
+sequence and by its seed. Joins of the pieces find, for each, its source: the smallest document that has it. A copy
+of a piece is covered from end to end. Pieces that differ share edges only if they share their seed (a passage that
+begins or ends inside them): there, the edges are joined one by one with the smallest document that has them. Neighbouring
+covered edges become spans of source coordinates, and the words are taken out of the texts.
+
+Pieces and edges are known by two independent 64-bit hashes each (of the whole sequence, and the seed); texts that differ
+in a window are taken as equal there only if both collide.
 
 Defined results: a null or empty text has no words; a text of fewer words than a window keeps all; repeated rows of
 one doc_id are texts of one document; a document with a null id removes nothing and nothing of it is removed; an
@@ -26,38 +24,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, drop_written, hash_words, sliding_min, window_hashes, word_lists, written
+from .common import by_batch, hash_words, sliding_min, window_hashes, word_lists, written
 from .membership import among, bits_of, with_bits
 
 WIDTH, SEED = 13, 7
 
 
-def hashes(words: np.ndarray, width: int, bits: int) -> np.ndarray:
-    """The hashes of all windows; bits below 64 force collisions, in tests."""
-    return window_hashes(words, width) & np.uint64((1 << bits) - 1)
-
-
-def seeds_of(words: np.ndarray, width: int, seed: int, bits: int = 64) -> np.ndarray:
+def seeds_of(words: np.ndarray, width: int, seed: int) -> np.ndarray:
     """The seed of every window."""
     if len(words) < width:
         return np.empty(0, np.uint64)
-    return sliding_min(hashes(words, seed, bits), width - seed + 1)
+    return sliding_min(window_hashes(words, seed), width - seed + 1)
 
 
 def _docs(documents: DataFrame) -> DataFrame:
     return documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
 
 
-def repeated_seeds(documents: DataFrame, width: int, seed: int, bits: int) -> DataFrame:
+def repeated_seeds(documents: DataFrame, width: int, seed: int) -> DataFrame:
     """seed: those that occur in two documents or more."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         found, owners = [], []
         for doc_id, words in zip(b.column("doc_id").to_pylist(), word_lists(b.column("text")), strict=True):
-            s = np.unique(seeds_of(hash_words(words), width, seed, bits)) if len(words) >= width else []
+            s = np.unique(seeds_of(hash_words(words), width, seed)) if len(words) >= width else []
             if len(s):
                 found.append(s)
                 owners.append(np.full(len(s), doc_id, np.int64))
@@ -68,25 +61,25 @@ def repeated_seeds(documents: DataFrame, width: int, seed: int, bits: int) -> Da
     return rows.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo != hi").select("seed")
 
 
-def pieces(documents: DataFrame, seeds: DataFrame, width: int, seed: int, bits: int) -> DataFrame:
-    """Pieces whose seed may repeat: doc_id, text_key, start, piece (hash of the sequence), seed, its two nodes, edges."""
+def pieces(documents: DataFrame, seeds: DataFrame, width: int, seed: int) -> DataFrame:
+    """Compacted paths whose seed may repeat: doc_id, text_key, start, piece (hash of the sequence), seed, edges."""
     shared = documents.sparkSession.sparkContext.broadcast(bits_of(seeds, "seed"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
         import xxhash
 
         bitmap = shared.value
-        docs, keys, starts, found, seeds, edges, nodes = [], [], [], [], [], [], []
+        docs, keys, starts, found, seeds, edges = [], [], [], [], [], []
         for doc_id, words in zip(b.column("doc_id").to_pylist(), word_lists(b.column("text")), strict=True):
             if len(words) < width:
                 continue
             h = hash_words(words)
-            s = seeds_of(h, width, seed, bits)
+            s = seeds_of(h, width, seed)
             first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
             known = among(bitmap, pa.array(s[first].view(np.int64)))
             if not known.any():
                 continue
-            edge, node = hashes(h, width, bits), hashes(h, width - 1, bits)
+            edge = window_hashes(h, width)
             key = text_key(h)
             for a, z in zip(first[known].tolist(), np.append(first[1:], len(s))[known].tolist(), strict=True):
                 docs.append(doc_id)
@@ -95,12 +88,11 @@ def pieces(documents: DataFrame, seeds: DataFrame, width: int, seed: int, bits:
                 found.append(xxhash.xxh64_intdigest(edge[a:z].tobytes()))
                 edges.append(edge[a:z].view(np.int64))
             seeds.append(s[first[known]])
-            nodes.append(np.stack([node[first], node[np.append(first[1:], len(s))]])[:, known])
         if not docs:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(np.concatenate(seeds).view(np.int64)), *(pa.array(np.concatenate([n[k] for n in nodes]).view(np.int64)) for k in (0, 1)), pa.array(edges, pa.list_(pa.int64()))], ["doc_id", "text_key", "start", "piece", "seed", "tail", "head", "edges"])
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(np.concatenate(seeds).view(np.int64)), pa.array(edges, pa.list_(pa.int64()))], ["doc_id", "text_key", "start", "piece", "seed", "edges"])
 
-    return by_batch(_docs(documents).filter("doc_id is not null"), run, "doc_id long, text_key long, start int, piece long, seed long, tail long, head long, edges array<long>")
+    return by_batch(_docs(documents).filter("doc_id is not null"), run, "doc_id long, text_key long, start int, piece long, seed long, edges array<long>")
 
 
 def text_key(words: np.ndarray) -> int:
@@ -109,183 +101,76 @@ def text_key(words: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(words.tobytes()) - (1 << 63)
 
 
-def compacted(sources: DataFrame) -> DataFrame:
-    """Every repeated piece's path: piece, seed, source_doc, source_key, first (where the path begins there) and offset (of the piece).
-
-    sources: piece, seed, n_windows, tail, head and source (doc_id, text_key, start), of repeated pieces, each once.
-    """
-    ends = sources.select(F.explode(F.array(F.struct(F.col("tail").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("head").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))).alias("e"))
-    inner = ends.groupBy("e.node").agg(F.sum("e.out").alias("out"), F.sum("e.into").alias("into")).filter("out = 1 and into = 1").select(F.col("node").alias("tail"), F.lit(True).alias("through"))
-    text = Window.partitionBy("source.doc_id", "source.text_key").orderBy("source.start")
-    follows = F.coalesce(F.col("through") & (F.lag(F.col("source.start") + F.col("n_windows")).over(text) == F.col("source.start")), F.lit(False))
-    rows = sources.join(inner, "tail", "left").withColumn("begins", F.when(~follows, F.col("source.start")))
-    first = F.last("begins", True).over(text)
-    return rows.select("piece", "seed", F.col("source.doc_id").alias("source_doc"), F.col("source.text_key").alias("source_key"), first.alias("first"), (F.col("source.start") - first).alias("offset"))
-
-
-def along_paths(places: DataFrame, paths: DataFrame) -> DataFrame:
-    """Copies of paths: doc_id, text_key, start, n_windows, source; one row a path and copy, or one a piece where the copy has gaps.
-
-    places: doc_id, text_key, start, n_windows, piece, seed of every piece.
-    """
-    rows = places.join(paths, ["piece", "seed"]).filter("doc_id > source_doc").withColumn("origin", F.col("start") - F.col("offset"))
-    part = F.struct("start", "n_windows")
-    rows = rows.groupBy("doc_id", "text_key", "source_doc", "source_key", "first", "origin").agg(F.min("start").alias("lo"), F.max(F.col("start") + F.col("n_windows")).alias("hi"), F.collect_set(part).alias("parts"))
-    n = F.aggregate("parts", F.lit(0), lambda a, x: a + x["n_windows"])
-    whole = F.array(F.struct(F.col("lo").alias("start"), (F.col("hi") - F.col("lo")).alias("n_windows")))
-    rows = rows.withColumn("p", F.explode(F.when(n == F.col("hi") - F.col("lo"), whole).otherwise(F.col("parts"))))
-    source = F.struct(F.col("source_doc").alias("doc_id"), F.col("source_key").alias("text_key"), (F.col("first") + F.col("p.start") - F.col("origin")).alias("start"))
-    return rows.select("doc_id", "text_key", "p.start", "p.n_windows", source.alias("source"))
-
-
-def joined_runs(rows: DataFrame) -> DataFrame:
-    """Runs that follow each other in a text and at their source as one: doc_id, text_key, start, n_windows, source.
-
-    rows: the same, for single pieces and edges.
-    """
-    text = Window.partitionBy("doc_id", "text_key").orderBy("start")
-    shift = F.struct(F.col("source.doc_id"), F.col("source.text_key"), F.col("start") - F.col("source.start"))
-    follows = (F.lag(F.col("start") + F.col("n_windows")).over(text) == F.col("start")) & (F.lag(shift).over(text) == shift)
-    rows = rows.withColumn("n", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1))
-    rows = rows.withColumn("run", F.sum("n").over(text.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("doc_id", "text_key", "run").agg(F.min("start").alias("start"), F.sum("n_windows").cast("int").alias("n_windows"), F.min("source").alias("source")).drop("run")
-
-
-def covered(documents: DataFrame, width: int = WIDTH, seed: int = SEED, bits: int = 64) -> DataFrame:
-    """Runs of windows that a smaller document has too, by their hashes: doc_id, text_key, start, n_windows, source.
+def covered(documents: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
+    """Runs of windows that a smaller document has too: doc_id, text_key, start, n_windows, source_doc.
 
     start is the first window's first word; the words covered are those from start to start + n_windows + width - 2.
-    source is the run's place there (doc_id, text_key, start).
     """
-    seeds = written(repeated_seeds(documents, width, seed, bits), "seeds")
-    all_pieces = written(pieces(documents, seeds, width, seed, bits), "pieces")
-    key, place = ["piece", "seed"], F.struct("doc_id", "text_key", "start")
-    first = all_pieces.groupBy(*key).agg(F.min(place).alias("source"), F.max("doc_id").alias("last"), *(F.first(c).alias(c) for c in ("tail", "head")), F.first(F.size("edges")).alias("n_windows"))
-    sources = written(first, "sources")
+    seeds = written(repeated_seeds(documents, width, seed), "seeds")
+    all_pieces = written(pieces(documents, seeds, width, seed), "pieces")
+    key = ["piece", "seed"]
     places = all_pieces.select("doc_id", "text_key", "start", F.size("edges").alias("n_windows"), *key)
-    whole = along_paths(places, compacted(sources.filter("source.doc_id != last")))
+    sources = written(all_pieces.groupBy(*key).agg(F.min("doc_id").alias("source_doc"), F.max("doc_id").alias("last")), "sources")
+    copies = places.join(sources.filter("source_doc != last").select(*key, "source_doc"), key)
+    whole = copies.filter("doc_id > source_doc").select("doc_id", "text_key", "start", "n_windows", "source_doc")
     # different pieces of one seed, at their sources
     several = written(sources.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "several")
     own = with_bits(all_pieces, "seed", several, "seed").join(several, "seed", "left_semi")
-    own = own.join(sources.select(*key, F.col("source.doc_id").alias("doc_id")), [*key, "doc_id"], "left_semi").select("doc_id", "text_key", "start", "edges")
-    edges = written(own.select("doc_id", "text_key", "start", F.posexplode("edges").alias("i", "edge")).select("doc_id", "text_key", (F.col("start") + F.col("i")).alias("start"), "edge"), "edges")
-    least = written(edges.groupBy("edge").agg(F.min(place).alias("source"), F.max("doc_id").alias("last")).filter("source.doc_id != last").select("edge", "source"), "least")
-    partly = with_bits(edges, "edge", least, "edge").join(least, "edge").filter("doc_id > source.doc_id").select("doc_id", "text_key", "start", F.lit(1).alias("n_windows"), "source")
-    runs = written(joined_runs(whole.unionByName(partly)), "runs")
-    for made in (seeds, all_pieces, sources, several, edges, least):
-        drop_written(made)
-    return runs
+    own = own.join(sources.select(*key, F.col("source_doc").alias("doc_id")), [*key, "doc_id"], "left_semi").select("doc_id", "text_key", "start", "seed", "edges")
+    edges = written(own.select("doc_id", "text_key", "start", "seed", F.posexplode("edges").alias("i", "edge")).select("doc_id", "text_key", (F.col("start") + F.col("i")).alias("start"), "edge", "seed"), "edges")
+    least = written(edges.groupBy("edge", "seed").agg(F.min("doc_id").alias("source_doc"), F.max("doc_id").alias("last")).filter("source_doc != last").select("edge", "seed", "source_doc"), "least")
+    partly = with_bits(edges, "edge", least, "edge").join(least, ["edge", "seed"]).filter("doc_id > source_doc").select("doc_id", "text_key", "start", F.lit(1).alias("n_windows"), "source_doc")
+    return whole.unionByName(partly)
 
 
-def digest(words: list[bytes]) -> bytes:
-    import xxhash
-
-    return xxhash.xxh3_128_digest(b" ".join(words))
+def spans(documents: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
+    """Per text with repeats: doc_id, text_key, spans (array of start, end in words, end exclusive, and the smallest source)."""
+    runs = covered(documents, width, seed).select("doc_id", "text_key", F.struct(F.col("start").alias("start"), (F.col("start") + F.col("n_windows") + (width - 1)).alias("end"), "source_doc").alias("s"))
+    return runs.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("s")).alias("spans"))
 
 
-def keyed(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text, text_key of the documents whose id may be among ids (a written table)."""
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array([text_key(hash_words(w)) for w in word_lists(b.column("text"))], pa.int64())], ["doc_id", "text", "text_key"])
-
-    return by_batch(with_bits(_docs(documents).filter("doc_id is not null"), "doc_id", ids, "doc_id"), run, "doc_id long, text string, text_key long")
-
-
-def spans(documents: DataFrame, width: int = WIDTH, seed: int = SEED, bits: int = 64) -> DataFrame:
-    """Per text with repeats: doc_id, text_key, spans (array of start, end in words, end exclusive, source, and the digest of the words there)."""
-    runs = covered(documents, width, seed, bits).withColumn("size", F.col("n_windows") + (width - 1))
-    asked = runs.select(F.col("source.doc_id").alias("doc_id"), F.col("source.text_key").alias("text_key"), F.col("source.start").alias("at"), "size").distinct()
-    asked = written(asked.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "size")).alias("asked")), "asked")
-
-    def answer(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(d, k, x["at"], x["size"], digest(words[x["at"] : x["at"] + x["size"]])) for d, k, words, all_of in zip(b.column("doc_id").to_pylist(), b.column("text_key").to_pylist(), word_lists(b.column("text")), b.column("asked").to_pylist(), strict=True) for x in all_of]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["source_doc", "source_key", "at", "size", "said"])
-
-    texts = keyed(documents, asked.select("doc_id")).join(asked, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
-    said = by_batch(texts.select("doc_id", "text_key", "text", "asked"), answer, "source_doc long, source_key long, at int, size int, said binary")
-    same = (F.col("source.doc_id") == F.col("source_doc")) & (F.col("source.text_key") == F.col("source_key")) & (F.col("source.start") == F.col("at")) & (runs["size"] == said["size"])
-    found = runs.join(said, same).select("doc_id", "text_key", F.struct("start", (F.col("start") + runs["size"]).alias("end"), "source", "said").alias("s"))
-    return found.groupBy("doc_id", "text_key").agg(F.collect_list("s").alias("spans"))
-
-
-def by_words(documents: DataFrame, failed: DataFrame, width: int, bits: int) -> DataFrame:
-    """Of spans that aren't what is at their source, the windows that a smaller document has: doc_id, text_key, cut (array of start, end).
-
-    failed: doc_id, text_key, text, failed (array of start, end). All windows with the hashes of theirs are compared by their words.
-    """
-    schema = "doc_id long, text_key long, start int, edge long, said binary"
-
-    def windows(b: pa.RecordBatch, wanted: list | None) -> pa.RecordBatch | None:
-        rows = []
-        for k, (d, key, words) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text_key").to_pylist(), word_lists(b.column("text")), strict=True)):
-            edge = hashes(hash_words(words), width, bits).view(np.int64).tolist() if len(words) >= width else []
-            at = range(len(edge)) if wanted is None else [i for s in wanted[k] for i in range(s["start"], s["end"] - width + 1)]
-            rows += [(d, key, i, edge[i], b" ".join(words[i : i + width])) for i in at]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "text_key", "start", "edge", "said"]) if rows else None
-
-    mine = written(by_batch(failed.select("doc_id", "text_key", "text", "failed"), lambda b: windows(b, b.column("failed").to_pylist()), schema), "unsettled")
-    edges = written(mine.select("edge").distinct(), "unsettled-edges")
-    texts = by_batch(_docs(documents).filter("doc_id is not null").withColumn("text_key", F.lit(0).cast("long")), lambda b: windows(b, None), schema)
-    least = with_bits(texts, "edge", edges, "edge").join(edges, "edge", "left_semi").groupBy("said").agg(F.min("doc_id").alias("least"))
-    found = mine.join(least, "said").filter("doc_id > least").select("doc_id", "text_key", F.struct("start", (F.col("start") + width).alias("end")).alias("s"))
-    return found.groupBy("doc_id", "text_key").agg(F.collect_set("s").alias("cut"))
-
-
-def deduplicated(documents: DataFrame, width: int = WIDTH, seed: int = SEED, keep_text: bool = False, bits: int = 64) -> DataFrame:
+def deduplicated(documents: DataFrame, width: int = WIDTH, seed: int = SEED, keep_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 and, where asked for, text (kept words joined by spaces)."""
-    found = written(spans(documents, width, seed, bits), "spans")
-    shared = documents.sparkSession.sparkContext.broadcast(bits_of(found, "doc_id"))
+    found = written(spans(documents, width, seed), "spans")
+    touched = found.select("doc_id").distinct()
+    shared = documents.sparkSession.sparkContext.broadcast(bits_of(touched, "doc_id"))
     fields = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()][: 4 + keep_text]
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "text"][: 4 + keep_text]
-
-    def row(doc_id: int | None, words: list[bytes], cut: list) -> tuple:
-        kept = words
-        if cut:
-            edge = np.zeros(len(words) + 1, np.int32)
-            for s in cut:
-                edge[s["start"]] += 1
-                edge[s["end"]] -= 1
-            kept = [words[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0).tolist()]
-        said = b" ".join(kept)
-        return (doc_id, len(words), len(words) - len(kept), hashlib.sha256(said).hexdigest(), *([said.decode()] if keep_text else []))
-
-    def batch(rows: list[tuple], more: list[list], more_kinds: list, more_names: list[str]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([*columns, *more], [*kinds, *more_kinds], strict=True)], [*names, *more_names])
+
+    def result(ids: list, texts: Iterator[list[bytes]], gone: list) -> pa.RecordBatch:
+        rows = []
+        for doc_id, words, cut in zip(ids, texts, gone, strict=True):
+            kept = words
+            if cut:
+                edge = np.zeros(len(words) + 1, np.int32)
+                for s in cut:
+                    edge[s["start"]] += 1
+                    edge[s["end"]] -= 1
+                kept = [words[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0).tolist()]
+            said = b" ".join(kept)
+            rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(said).hexdigest(), *([said.decode()] if keep_text else [])))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "text"]
+        columns = list(zip(*rows, strict=True)) or [()] * (4 + keep_text)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=False)], names[: len(columns)])
+
+    def split(inside: bool):
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            is_in = among(shared.value, b.column("doc_id")) & np.array(b.column("doc_id").is_valid())
+            return b.filter(pa.array(is_in == inside))
+
+        return run
 
     def untouched(b: pa.RecordBatch) -> pa.RecordBatch:
-        b = b.filter(pa.array(~(among(shared.value, b.column("doc_id")) & np.array(b.column("doc_id").is_valid()))))
-        return batch([row(d, w, []) for d, w in zip(b.column("doc_id").to_pylist(), word_lists(b.column("text")), strict=True)], [], [], [])
+        b = split(False)(b)
+        return result(b.column("doc_id").to_pylist(), word_lists(b.column("text")), [None] * b.num_rows)
 
-    pair = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+    def keyed(b: pa.RecordBatch) -> pa.RecordBatch:
+        b = split(True)(b)
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array([text_key(hash_words(w)) for w in word_lists(b.column("text"))], pa.int64())], ["doc_id", "text", "text_key"])
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows, failed = [], []
-        for d, words, all_of in zip(b.column("doc_id").to_pylist(), word_lists(b.column("text")), b.column("spans").to_pylist(), strict=True):
-            right = [digest(words[s["start"] : s["end"]]) == s["said"] for s in all_of or ()]
-            rows.append(row(d, words, [s for s, ok in zip(all_of or (), right, strict=True) if ok]))
-            failed.append([{"start": s["start"], "end": s["end"]} for s, ok in zip(all_of or (), right, strict=True) if not ok])
-        return batch(rows, [b.column("text_key").to_pylist(), failed], [pa.int64(), pa.list_(pair)], ["text_key", "failed"])
+        return result(b.column("doc_id").to_pylist(), word_lists(b.column("text")), b.column("spans").to_pylist())
 
     rest = by_batch(_docs(documents), untouched, fields)
-    some = keyed(documents, found.select("doc_id")).join(found, ["doc_id", "text_key"], "left").select("doc_id", "text_key", "text", "spans")
-    settled = written(by_batch(some, cut, f"{fields}, text_key long, failed array<struct<start: int, end: int>>"), "settled")
-    failed = settled.filter("size(failed) > 0").select("doc_id", "text_key", "failed").dropDuplicates(["doc_id", "text_key"])
-    if failed.isEmpty():
-        return rest.unionByName(settled.select(names))
-    # hashes collided: those texts again, with what their words say
-    texts = written(some.join(failed, ["doc_id", "text_key"]), "failed")
-    extra = by_words(documents, texts.dropDuplicates(["doc_id", "text_key"]), width, bits)
-
-    def again(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for d, words, all_of, more in zip(b.column("doc_id").to_pylist(), word_lists(b.column("text")), b.column("spans").to_pylist(), b.column("cut").to_pylist(), strict=True):
-            rows.append(row(d, words, [s for s in all_of if digest(words[s["start"] : s["end"]]) == s["said"]] + (more or [])))
-        return batch(rows, [], [], [])
-
-    mended = by_batch(texts.join(extra, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans", "cut"), again, fields)
-    return rest.unionByName(settled.filter("size(failed) = 0").select(names)).unionByName(mended)
+    some = by_batch(_docs(documents), keyed, "doc_id long, text string, text_key long").join(found, ["doc_id", "text_key"], "left")
+    return rest.unionByName(by_batch(some.select("doc_id", "text", "spans"), cut, fields))

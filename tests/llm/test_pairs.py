@@ -147,15 +147,6 @@ def test_substring_dedup_of_overlapping_passages(spark):
     assert shape(substrings.deduplicated(df)) == deduplicated(rows)
     texts = {r.doc_id: r.text for r in substrings.deduplicated(df, keep_text=True).collect()}
     assert texts[99] == ""
-    assert shape(substrings.deduplicated(df, bits=7)) == deduplicated(rows)  # hashes of seven bits collide
-
-
-def test_compacted_paths(spark):
-    """Pieces a, b, c follow each other; x also enters b's end, so the path ends there."""
-    rows = [("a", 0, 5, 1, 2), ("b", 5, 3, 2, 3), ("c", 8, 4, 3, 4), ("d", 40, 4, 9, 8), ("x", 60, 2, 7, 3)]
-    df = spark.createDataFrame([(ord(p), 0, n, t, h, (1, 1, at)) for p, at, n, t, h in rows], "piece long, seed long, n_windows int, tail long, head long, source struct<doc_id: long, text_key: long, start: int>")
-    got = {chr(r.piece): (r.first, r.offset) for r in substrings.compacted(df).collect()}
-    assert got == {"a": (0, 0), "b": (0, 5), "c": (8, 0), "d": (40, 0), "x": (60, 0)}
 
 
 def test_lcs():
