@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: The six ASCII white-space characters that separate words; ``bytes.split()`` splits on exactly these.
 WHITE = " \t\n\x0b\x0c\r"
 #: Rows and bytes of one Arrow batch handed to Python, so that long texts stay within a worker's memory.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -83,6 +83,18 @@ def fresh(caches: bool = False) -> None:
         _LIBC[0].malloc_trim(0)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """run, after which the worker gives its free memory back: idle workers outnumber those at work."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            fresh(caches=True)
+
+    return wrapped
+
+
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str, caches: bool = False) -> DataFrame:
     """Applies fn to every Arrow batch of df; caches says whether fn uses the worker's caches."""
     small_batches(df.sparkSession)
@@ -94,7 +106,7 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.T
             if out is not None:
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def texts(column: pa.Array) -> list[str]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, fresh, hash_words, mixed, small_batches, window_hashes, written
+from .common import by_batch, fresh, hash_words, mixed, small_batches, tidy, window_hashes, written
 from .components import components
 from .membership import one_row_an_id, only_ids, without_ids
 
@@ -108,7 +108,7 @@ def sets_and_counts(documents: DataFrame, width: int) -> DataFrame:
             parts = counts.reshape(CHUNKS, -1)
             yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
 
-    return _docs(documents).mapInArrow(run, "doc_id long, n long, key binary, chunk int, counts binary")
+    return _docs(documents).mapInArrow(tidy(run), "doc_id long, n long, key binary, chunk int, counts binary")
 
 
 def summed(rows: DataFrame) -> np.ndarray:
@@ -150,7 +150,7 @@ def prefixes(documents: DataFrame, counts: np.ndarray, width: int, percent: int)
                 bits.append(bitmap(s))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "n", "tokens", "bits"])
 
-    return _docs(documents).mapInArrow(run, "doc_id long, n long, tokens array<long>, bits binary")
+    return _docs(documents).mapInArrow(tidy(run), "doc_id long, n long, tokens array<long>, bits binary")
 
 
 def bounded_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,7 +177,7 @@ def verified(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingle_hashes(w, width).tobytes() for w in lower_words(b.column("text"))], pa.binary())], ["doc_id", "shingles"])
 
-    sets = written(only_ids(_docs(documents).filter("doc_id is not null"), ids).mapInArrow(make, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+    sets = written(only_ids(_docs(documents).filter("doc_id is not null"), ids).mapInArrow(tidy(make), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -259,7 +259,7 @@ def tile_pairs(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield _pairs(out)
 
     key = ["token", "band", "i", "j"]
-    return met.repartition(*key).sortWithinPartitions(*key).select(*key, "role", "doc_id", "cluster", "leader", "n", "bits").mapInArrow(run, "a long, b long").distinct()
+    return met.repartition(*key).sortWithinPartitions(*key).select(*key, "role", "doc_id", "cluster", "leader", "n", "bits").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
