@@ -44,7 +44,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Workers that have been through the other stages remember fewer chunks, for their memory's sake.
     """
-    return pack_documents(docs, remembered=100_000)
+    return pack_documents(docs, remembered=60_000)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("packing", packing)]
