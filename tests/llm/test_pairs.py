@@ -188,7 +188,10 @@ def test_decontamination_recall(spark):
 
 def test_decontamination_odd_rows(spark, odd_documents, no_documents):
     bench = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "the quick brown fox jumps over the lazy dog near the river bank today", "x"), (None, "word1x1", "x")], "item_id long, text string, lcs string")
-    decontaminate.leaks(odd_documents, bench).collect()
+    got = sorted((r.doc_id, r.item_id or 0, r.lcs, r.n_item_words, r.verbatim) for r in decontaminate.leaks(odd_documents, bench).collect())
+    assert got == [(1, 3, 14, 14, True), (5, 0, 1, 1, True), (5, 0, 1, 1, True), (8, 3, 14, 14, True)]
+    kept = decontaminate.without_leaks(odd_documents, bench)
+    assert kept.columns == odd_documents.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 2, 3, 4, 6, 6, 7]
     assert decontaminate.leaks(odd_documents, bench.filter("1 = 0")).count() == 0
     assert decontaminate.leaks(no_documents, bench).count() == 0
     assert decontaminate.without_leaks(odd_documents, bench.filter("1 = 0")).count() == odd_documents.count()
