@@ -4,7 +4,7 @@ Words and word pairs are hashed into 2^18 buckets. Two multinomials are counted
 all documents, the target one over every document that the labels call good and not toxic. A bucket's ratio is
 shrunk towards nought by a prior weight, so that rare words say nothing. A document's score is the mean ratio of its
 n-grams. The threshold lies below the scores that good labelled documents have when their own counts are left out.
-It is fitted on at most FIT_ROWS labelled documents (those with the smallest hashes of their ids).
+It and the limit are exact order statistics of every labelled document, found by digits of the scores.
 
 A few words make a text toxic, which a mean over the text hides. So a second ratio is counted by documents: of those
 that the labels call toxic and have a word, against as many as would have it if they were good or any documents. A
@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from zlib import crc32
 
 import numpy as np
@@ -26,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, by_batch, fresh, small_batches, texts, tidy, window_hashes, word_lists
+from .common import WHITE, by_batch, drop_written, fresh, small_batches, texts, tidy, window_hashes, word_lists, written
+from .membership import among, bits_of
 
 BITS = 18
 #: Weight of the prior: as many n-grams are added to what is seen and to what is expected.
 PRIOR = 10.0
-#: Labelled documents that the threshold is fitted on, at most.
-FIT_ROWS = 20_000
+#: Scores of labelled documents: of good ones, of bad ones, and of the most toxic words of good ones.
+GOOD, BAD, TOXIC = 0, 1, 2
 #: Weight of the prior of the toxic ratio in documents, part of the good documents above its limit, and the least limit.
 TOXIC_PRIOR, TOXIC_LOSS, TOXIC_LEAST = 3.0, 0.005, float(np.log(2))
 _CHUNKS = 64
@@ -154,31 +157,74 @@ def count_corpora(documents: DataFrame, verdicts: DataFrame) -> tuple[np.ndarray
     return out[0], out[1], out[2:], total
 
 
-def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+def sort_keys(x: np.ndarray) -> np.ndarray:
+    """Longs in the order of the doubles; the same again gives the doubles' bits back."""
+    bits = np.asarray(x, np.float64).view(np.int64)
+    return bits ^ ((bits >> 63) & 0x7FFFFFFFFFFFFFFF)
+
+
+def order_statistics(rows: DataFrame, wanted: list[tuple[int, int]]) -> list[float]:
+    """The values at (kind, rank from 0) among rows (kind int, key long, of ``sort_keys``), exact however many rows there are.
+
+    Digits of 12 bits are counted from the highest on, each among the rows that agree in those before: at most 4096 counts
+    for each value wanted come to the driver at once.
+    """
+    before, at = 64, [(kind, 0, rank) for kind, rank in wanted]
+    for shift in (52, 40, 28, 16, 4, 0):
+        near = [(F.col("kind") == kind) & (F.shiftright("key", before) == prefix if before < 64 else F.lit(True)) for kind, prefix in sorted({(k, p) for k, p, _ in at})]
+        digits: dict[tuple[int, int], list] = {}
+        for r in rows.filter(reduce(or_, near)).groupBy("kind", F.shiftright("key", shift).alias("prefix")).count().collect():  # 4096 a value wanted
+            digits.setdefault((r["kind"], r["prefix"] >> (before - shift) if before < 64 else 0), []).append((r["prefix"], r["count"]))
+        for k, (kind, prefix, rank) in enumerate(at):
+            for digit, n in sorted(digits[kind, prefix]):
+                if rank < n:
+                    at[k] = (kind, digit, rank)
+                    break
+                rank -= n
+        before = shift
+    bits = np.array([key for _, key, _ in at], np.int64)
+    return (bits ^ ((bits >> 63) & 0x7FFFFFFFFFFFFFFF)).view(np.float64).tolist()
+
+
+def fit(documents: DataFrame, labels: DataFrame) -> Model:
     verdicts = verdicts_of(labels)
     target, raw, found, total = count_corpora(documents, verdicts)
     model = Model(ratios(target, raw), target, raw, float("-inf"), toxic_ratios(found, total))
     if not target.sum():
         return model
-    some = verdicts.filter("good or bad").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    known = written(verdicts.filter("good or bad").select("doc_id", "good"), "labelled")
+    shared = documents.sparkSession.sparkContext.broadcast((model, bits_of(known, "doc_id")))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        m, out = shared.value, []
-        for words, good in zip(word_lists(b.column("text")), b.column("good").to_pylist(), strict=True):
+        (m, bitmap), out = shared.value, []
+        b = b.filter(pa.array(among(bitmap, b.column("doc_id"))))
+        for words in word_lists(b.column("text")):
             buckets = gram_buckets(words)
-            out.append((m.score_without(buckets) if good else m.score(buckets), most_toxic(m.toxic, words)))
-        return pa.RecordBatch.from_arrays([b.column("good"), *(pa.array(x, pa.float64()) for x in zip(*out, strict=True))], ["good", "score", "toxic"])
+            out.append((m.score_without(buckets), m.score(buckets), most_toxic(m.toxic, words)))
+        keys = sort_keys(np.array(out, np.float64).reshape(-1, 3).T)
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, keys)], ["doc_id", "without", "score", "toxic"])
 
     docs = documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-    rows = by_batch(docs.join(F.broadcast(some), "doc_id").select("text", "good"), run, "good boolean, score double, toxic double").collect()  # fit_rows at most, a document each
-    good, bad = (np.array([r["score"] for r in rows if r["good"] == x]) for x in (True, False))
-    if not len(good):
-        return model
-    low = float(np.quantile(good, 0.001))
-    far = float(np.median(bad)) if len(bad) else low - abs(low)
-    limit = max(TOXIC_LEAST, float(np.quantile([r["toxic"] for r in rows if r["good"]], 1 - TOXIC_LOSS, method="higher")))
-    return Model(model.ratio, target, raw, low - 0.1 * max(0.0, low - far), model.toxic, limit)
+    scored = by_batch(docs, run, "doc_id long, without long, score long, toxic long").join(known.hint("merge"), "doc_id")
+    kinds = F.when(F.col("good"), F.array(F.struct(F.lit(GOOD).alias("kind"), F.col("without").alias("key")), F.struct(F.lit(TOXIC).alias("kind"), F.col("toxic").alias("key"))))
+    rows = written(scored.select(F.explode(kinds.otherwise(F.array(F.struct(F.lit(BAD).alias("kind"), F.col("score").alias("key"))))).alias("r")).select("r.*"), "scores")
+    n = {r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()}  # 3 rows
+    if GOOD in n:
+        model = _with_limits(model, rows, n)
+    drop_written(rows)
+    drop_written(known)
+    return model
+
+
+def _with_limits(model: Model, rows: DataFrame, n: dict[int, int]) -> Model:
+    """model with the threshold and the limit that n scores of each kind give; quantiles as numpy's."""
+    place = 0.001 * (n[GOOD] - 1)
+    ranks = [(GOOD, int(place)), (GOOD, min(int(place) + 1, n[GOOD] - 1)), (TOXIC, int(np.ceil((1 - TOXIC_LOSS) * (n[TOXIC] - 1))))]
+    ranks += [(BAD, (n[BAD] - 1) // 2), (BAD, n[BAD] // 2)] if BAD in n else []
+    a, b, toxic, *middle = order_statistics(rows, ranks)
+    low = float(np.quantile([a, b], place - int(place)))
+    far = sum(middle) / 2 if middle else low - abs(low)
+    return Model(model.ratio, model.target, model.raw, low - 0.1 * max(0.0, low - far), model.toxic, max(TOXIC_LEAST, toxic))
 
 
 def repeated_words(words: list[bytes], width: int = 8) -> int:
