@@ -1,10 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts are read as windows of two consecutive blocks of BLOCK words. The vocabulary is every benchmark word and the
-commonest words of a bounded sample of documents; document frequencies are counted over all documents. A randomised
-singular value decomposition of the TF-IDF passages (all benchmark passages and those of the sample) is computed by
-Spark tasks that hold a part of the rows each; the driver sees sums of a fixed size. Every window of every document
-is projected, and its cosine with every benchmark passage is taken. Candidates are settled by the longest common
+commonest words of the documents; words are counted in all documents. A randomised singular value decomposition of the
+TF-IDF passages of the benchmark and of all documents is computed by Spark tasks that hold a part of the rows each; the
+driver sees sums of a fixed size. A random subspace is turned towards the benchmark's passages in ROUNDS rounds; one more
+over the benchmark and every document gives the singular vectors (Nystroem's form, which needs no further pass). Every
+window of every document is projected, and its cosine with every benchmark passage is taken. Candidates are settled by the longest common
 subsequence of words, and paraphrases also by the item's answer. Items whose words are mostly common (a group of copies
 can make any word common) have no vector that would find them; every window of every document is settled for those,
 except where a count of words rules a subsequence of that length out.
@@ -19,6 +20,7 @@ a match that no vector found is 0; an empty benchmark gives no rows; extra colum
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,21 +28,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, fresh, small_batches, tidy, word_lists, written
+from .common import Bounded, drop_written, fresh, small_batches, tidy, word_lists, written
 from .membership import without_ids
 
 BLOCK = 24
 RANK, OVERSAMPLE, ROUNDS = 128, 16, 2
-#: Documents that the decomposition is fitted on, at most (those with the smallest hashes of their ids), and its words.
+#: In the decomposition all documents together weigh as so many, if there are more; words that no item has, at most.
 FIT_DOCUMENTS, WORDS = 2000, 12_288
+#: Words that a task counts before it gives their counts away; words whose vectors are summed at once.
+COUNTED, AT_ONCE = 200_000, 1 << 14
 #: Benchmark passages of one search, at most.
 ITEMS = 20_000
 #: Words in more than this share of the documents have no weight.
 COMMON = 0.12
 #: An item is weak if its words beside as many unknown ones have a cosine under WEAK times the least one of candidates.
 WEAK = 1.25
-#: Weight of the sample's passages beside the benchmark's in the decomposition.
-SAMPLE_WEIGHT = 0.2
+#: Weight of a document's passages beside the benchmark's in the decomposition, for FIT_DOCUMENTS documents or fewer.
+DOCUMENT_WEIGHT = 0.2
 #: A window is a candidate if its latent cosine with a passage is at least this part of the passage's own.
 COSINE = 0.2
 #: Shares of an item's words in the longest common subsequence: word for word, and with the answer.
@@ -128,8 +132,13 @@ class Space:
 
     def project(self, ids: np.ndarray) -> np.ndarray:
         """Latent vectors of the windows of a text."""
+        vectors, squares = self.windows(ids)
+        return vectors / np.sqrt(np.maximum(squares, 1e-9))[:, None]
+
+    def windows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the windows' vectors, and the squared lengths of the windows themselves."""
         if not len(ids):
-            return np.zeros((0, self.basis.shape[1]), np.float32)
+            return np.zeros((0, self.basis.shape[1]), np.float32), np.zeros(0, np.float32)
         n = -(-len(ids) // BLOCK)
         blocks, squares = np.zeros((n, self.basis.shape[1]), np.float32), np.add.reduceat(self.squares[ids], np.arange(0, len(ids), BLOCK))
         known = np.flatnonzero((ids >= 0) & (self.squares[ids] > 0))
@@ -139,8 +148,8 @@ class Space:
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             blocks[owner[first]] += np.add.reduceat(self.basis[ids[at]], first)
         if n > 1:
-            blocks, squares = blocks[:-1] + blocks[1:], squares[:-1] + squares[1:]
-        return blocks / np.sqrt(np.maximum(squares, 1e-9))[:, None]
+            return blocks[:-1] + blocks[1:], squares[:-1] + squares[1:]
+        return blocks, squares
 
     def query(self, ids: np.ndarray) -> np.ndarray | None:
         """A passage's latent vector, scaled so that its product with the passage's own window is 1."""
@@ -154,82 +163,106 @@ class Space:
         return own <= least * (own + float(self.squares[-1]))
 
 
-def document_frequencies(documents: DataFrame, words: list[bytes]) -> tuple[np.ndarray, float]:
-    """In how many of all documents each word occurs, and how many documents there are."""
-    spark = documents.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(words)
+def document_counts(documents: DataFrame) -> DataFrame:
+    """word, n: in how many of all documents each word occurs; a written table."""
+    small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh()
-        vocabulary, n = Vocabulary(shared.value), np.zeros(len(shared.value) + 1)
+        plainly, n = Bounded(lambda words: list(map(plain, words)), COUNTED), Counter()
         for b in batches:
-            seen = []
             for said in word_lists(b.column("text")):
-                ids = np.unique(vocabulary.ids(said))
-                seen.append(ids[ids >= 0])
-            n[:-1] += np.bincount(np.concatenate(seen), minlength=len(n) - 1)
-            n[-1] += b.num_rows
-        if n[-1]:
-            yield from _parts(n)
-
-    n = summed_blobs(documents.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "chunk int, data binary"), (len(words) + 1,))
-    return n[:-1], float(n[-1])
+                n.update(set(plainly.get_all(list(set(said)))))
+                if len(n) >= COUNTED:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+                    n.clear()
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+
+    return written(documents.mapInArrow(tidy(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def spread(space: Space, texts: Iterator[np.ndarray], weight: float) -> np.ndarray:
+    """A' A q for the passages of texts (word numbers), where the space's basis is idf x q and a passage's length is weight."""
+    out = np.zeros((len(space.words), space.basis.shape[1]), np.float32)
+    words, owners, vectors, held, blocks = [], [], [], 0, 0
+
+    def add() -> None:
+        word, owner, v = np.concatenate(words), np.concatenate(owners), np.concatenate(vectors)
+        order = np.argsort(word, kind="stable")
+        for k in range(0, len(order), AT_ONCE):
+            at = order[k : k + AT_ONCE]
+            w = word[at]
+            first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+            out[w[first]] += np.add.reduceat(v[owner[at]], first)
+
+    for ids in texts:
+        at = np.flatnonzero((ids >= 0) & (space.squares[ids] > 0))
+        if not len(at):
+            continue
+        z, squares = space.windows(ids)
+        z = z * (np.divide(weight**2, squares, out=np.zeros_like(squares), where=squares > 0))[:, None]
+        if -(-len(ids) // BLOCK) > 1:
+            none = np.zeros((1, z.shape[1]), np.float32)
+            z = np.vstack([z, none]) + np.vstack([none, z])  # by block
+        words.append(ids[at])
+        owners.append(at // BLOCK + blocks)
+        vectors.append(z)
+        held, blocks = held + len(at), blocks + len(z)
+        if held >= AT_ONCE:
+            add()
+            words, owners, vectors, held, blocks = [], [], [], 0, 0
+    if held:
+        add()
+    return out * space.idf.astype(np.float32)[:, None]
 
 
 def fit(documents: DataFrame, items: list[list[bytes]]) -> Space:
     spark = documents.sparkSession
     small_batches(spark)
     own = sorted({plain(w) for words in items for w in words})
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    some = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCUMENTS)
-    sample = written(docs.join(F.broadcast(some), "doc_id").select("text"), "sample")  # FIT_DOCUMENTS documents
-
-    def distinct(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([w for words in word_lists(b.column("text")) for w in {plain(x) for x in words}], pa.binary())], ["word"])
-
-    common = by_batch(sample, distinct, "word binary").groupBy("word").count().filter("count > 1").orderBy(F.desc("count"), "word").limit(WORDS).collect()
+    said = documents.select(F.col("text").cast("string").alias("text"))
+    counted, total = document_counts(said), said.count()
+    common = counted.filter("n > 1").orderBy(F.desc("n"), "word").limit(WORDS).collect()
     known = set(own)
     words = own + [w for r in common if (w := bytes(r["word"])) not in known]
-    often, total = document_frequencies(documents, words)
+    often = {bytes(r["word"]): r["n"] for r in [*common, *counted.join(F.broadcast(spark.createDataFrame([(w,) for w in own], "word binary")), "word").collect()]}  # the words of items and WORDS more
+    drop_written(counted)
+    often = np.array([often.get(w, 0) for w in words], np.float64)
     idf = np.log((1 + total) / (1 + often)).clip(min=0.0)
     idf[often > COMMON * total] = 0.0
-    shared = spark.sparkContext.broadcast((words, idf))
-    extra = spark.createDataFrame([(b" ".join(x).decode(), 1.0) for x in items], "text string, weight double")
-    rows = sample.withColumn("weight", F.lit(SAMPLE_WEIGHT)).unionByName(extra).repartition(4)  # of a bounded number of rows
-
-    def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(word numbers, weights) of the unit TF-IDF passages."""
-        words, idf = shared.value
-        vocabulary = Vocabulary(words)
-        for b in batches:
-            for said, weight in zip(word_lists(b.column("text")), b.column("weight").to_pylist(), strict=True):
-                for ids in passages(vocabulary.ids(said)):
-                    u, n = np.unique(ids[ids >= 0], return_counts=True)
-                    w = n * idf[u]
-                    if w.any():
-                        yield u, w * (weight / np.linalg.norm(w))
-
-    def times(q: np.ndarray) -> np.ndarray:
+    bench = spark.createDataFrame([(b" ".join(x).decode(),) for x in items], "text string").repartition(4)
+
+    def times(rows: DataFrame, q: np.ndarray, weight: float) -> np.ndarray:
         """A' A q, summed over the tasks."""
-        given = spark.sparkContext.broadcast(q.astype(np.float32))
+        given = spark.sparkContext.broadcast((words, idf, q.astype(np.float32)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q = given.value
-            out = np.zeros(q.shape, np.float32)
-            for u, w in matrix(batches):
-                out[u] += np.outer(w, w @ q[u])
+            fresh()
+            words, idf, q = given.value
+            vocabulary, space = Vocabulary(words), Space(words, idf, q, 0.0)
+            out = spread(space, (vocabulary.ids(said) for b in batches for said in word_lists(b.column("text"))), weight)
             if out.any():
                 yield from _parts(out)
 
-        return summed_blobs(rows.mapInArrow(run, "chunk int, data binary"), q.shape)
+        return summed_blobs(rows.mapInArrow(tidy(run), "chunk int, data binary"), q.shape)
 
-    width = min(RANK + OVERSAMPLE, len(words))
-    q = np.random.default_rng(7).standard_normal((len(words), width))
+    q = np.random.default_rng(7).standard_normal((len(words), min(RANK + OVERSAMPLE, len(words))))
     for _ in range(ROUNDS):
-        q, _ = np.linalg.qr(times(q))
-    values, turn = np.linalg.eigh(q.T @ times(q))
-    return Space(words, idf, q @ turn[:, ::-1][:, : min(RANK, width)], float(np.log(1 + total)))
+        q, _ = np.linalg.qr(times(bench, q, 1.0))
+    y = times(bench, q, 1.0) + times(said, q, DOCUMENT_WEIGHT * min(1.0, FIT_DOCUMENTS / max(1, total)) ** 0.5)
+    return Space(words, idf, singular_vectors(q, y)[:, :RANK], float(np.log(1 + total)))
+
+
+def singular_vectors(q: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The eigenvectors, the largest first, of y (q' y)^-1 y', which stands for A' A if y = A' A q; q if that is nought."""
+    values, turn = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
+    if values[-1] <= 0:
+        return q
+    fine = values > 1e-6 * values[-1]
+    half = y @ (turn[:, fine] / np.sqrt(values[fine]))
+    vectors, _, _ = np.linalg.svd(half, full_matrices=False)
+    return vectors
 
 
 class Item:

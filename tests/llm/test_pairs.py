@@ -221,6 +221,33 @@ def test_decontamination_recall_beyond_the_sample(spark):
     assert verbatim <= found and held >= 0.95 * len(items)
 
 
+def test_space_of_all_documents(spark, monkeypatch):
+    """Words and decomposition are those of every document: against counts and passages held in one place."""
+    import numpy as np
+
+    monkeypatch.setattr(decontaminate, "COUNTED", 50)
+    random.seed(9)
+    texts = [" ".join(f"W{random.randrange(40 + k // 4)}," for _ in range(random.randrange(5, 120))) for k in range(2400)]
+    items = [[f"w{random.randrange(700)}".encode() for _ in range(40)] for _ in range(6)]
+    space = decontaminate.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items)
+    words = [[decontaminate.plain(x) for x in t.encode().split()] for t in texts]
+    often = Counter(w for said in words for w in set(said))
+    own = {w for x in items for w in x}
+    assert set(space.words) == own | {w for w, n in often.items() if n > 1}
+    idf = [0.0 if often[w] > decontaminate.COMMON * 2400 else np.log(2401 / (1 + often[w])) for w in space.words]
+    assert np.allclose(space.idf, idf)
+    vocabulary, q = decontaminate.Vocabulary(space.words), np.random.default_rng(1).standard_normal((len(idf), 5)).astype(np.float32)
+    want = np.zeros(q.shape)
+    for said in words[:300]:
+        for ids in decontaminate.passages(vocabulary.ids(said)):
+            a = np.zeros(len(idf))
+            np.add.at(a, ids[ids >= 0], np.array(idf)[ids[ids >= 0]])
+            square = (np.array(idf)[ids[ids >= 0]] ** 2).sum()
+            want += np.outer(a, a @ q) / square if square else 0.0
+    got = decontaminate.spread(decontaminate.Space(space.words, space.idf, q, 0.0), (vocabulary.ids(x) for x in words[:300]), 1.0)
+    assert np.allclose(got, want, rtol=1e-3, atol=1e-3)
+
+
 def test_decontamination_of_common_words(spark):
     """Items whose words are common: in a group of copies with more than 12 % of the rows, and in a table of few rows."""
     random.seed(8)
