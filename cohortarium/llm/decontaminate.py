@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Texts are read as windows of two consecutive blocks of BLOCK words. The vocabulary is every benchmark word and the
+Texts are read as windows of two consecutive blocks of BLOCK words; their words are looked up once and stored as numbers. The vocabulary is every benchmark word and the
 commonest words of the documents; words are counted in all documents. A randomised singular value decomposition of the
 TF-IDF passages of the benchmark and of all documents is computed by Spark tasks that hold a part of the rows each; the
 driver sees sums of a fixed size. A random subspace is turned towards the benchmark's passages in ROUNDS rounds; one more
@@ -22,21 +22,24 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, drop_written, fresh, small_batches, tidy, word_lists, written
+from .common import drop_written, fresh, reuse_freed, small_batches, tidy, written
+from .jaccard import lower_words
 from .membership import without_ids
 
 BLOCK = 24
 RANK, OVERSAMPLE, ROUNDS = 128, 16, 2
 #: In the decomposition all documents together weigh as so many, if there are more; words that no item has, at most.
 FIT_DOCUMENTS, WORDS = 2000, 12_288
-#: Words that a task counts before it gives their counts away; words whose vectors are summed at once.
-COUNTED, AT_ONCE = 200_000, 1 << 14
+#: Words that a task counts before it gives their counts away; words of texts that are looked at together, about; rows
+#: of a sum that are added one after the other.
+COUNTED, AT_ONCE, ADDED = 200_000, 1 << 14, 16
 #: Benchmark passages of one search, at most.
 ITEMS = 20_000
 #: Words in more than this share of the documents have no weight.
@@ -68,14 +71,111 @@ class Vocabulary:
 
     def __init__(self, words: list[bytes]):
         self.numbers = {w: i for i, w in enumerate(words)}
+        self.kind = np.int16 if len(words) < 1 << 15 else np.int32
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         get = self.numbers.get
-        out = list(map(get, words))
-        for i, x in enumerate(out):
-            if x is None:
-                out[i] = get(plain(words[i]), -1)
-        return np.array(out, np.int64)
+        out = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+        if len(at := np.flatnonzero(out < 0)):  # those aren't plain, or outside
+            forms = map(bytes.strip, map(bytes.lower, map(words.__getitem__, at.tolist())), repeat(_EDGE))
+            out[at] = np.fromiter(map(get, forms, repeat(-1)), np.int64, len(at))
+        return out
+
+    def coded(self, words: list[bytes]) -> bytes:
+        return self.ids(words).astype(self.kind).tobytes()
+
+    @staticmethod
+    def read(column: pa.Array, words: int) -> Iterator[np.ndarray]:
+        """What ``coded`` gave, where the vocabulary has so many words."""
+        kind = np.int16 if words < 1 << 15 else np.int32
+        return (np.frombuffer(x, kind).astype(np.int64) for x in column.to_pylist())
+
+
+class Tally:
+    """Of words in lower case: the numbers of their plain forms, given as they come; in how many texts those are."""
+
+    def __init__(self):
+        self.numbers: dict[bytes, int] = {}
+        self.words: list[bytes] = []
+        self.n, self.seen = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+
+    def add(self, words: list[bytes]) -> None:
+        numbers, forms = self.numbers, self.words
+        ids = np.fromiter(map(numbers.get, words, repeat(-1)), np.int64, len(words))
+        for i in np.flatnonzero(ids < 0).tolist():
+            word = words[i]
+            form = word.strip(_EDGE) or word
+            n = numbers.get(form)
+            if n is None:
+                n = numbers[form] = len(forms)
+                forms.append(form)
+            if form is not word:
+                numbers[word] = n
+            ids[i] = n
+        if len(self.n) < len(forms):
+            self.n, self.seen = (np.append(x, np.zeros(2 * len(forms) - len(x), x.dtype)) for x in (self.n, self.seen))
+        places = np.arange(len(ids), dtype=np.int32)
+        self.seen[ids] = places
+        self.n[ids[self.seen.take(ids) == places]] += 1  # each number once
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.words, pa.binary()), pa.array(self.n[: len(self.words)])], ["word", "n"])
+
+
+def together(texts: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Texts in groups of AT_ONCE words or one text."""
+    group, held = [], 0
+    for x in texts:
+        group.append(x)
+        held += 1 + len(x)
+        if held >= AT_ONCE:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
+def summed(rows: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sums of rows[at] from each first on, which reduceat gives more slowly: the k-th rows of all sums are added at once."""
+    if not len(first):
+        return np.zeros((0, rows.shape[1]), rows.dtype)
+    length = np.diff(first, append=len(at))
+    if length.max() > ADDED:
+        parts = -(-length // ADDED)
+        start = np.cumsum(parts) - parts
+        inner = np.repeat(first - ADDED * start, parts) + ADDED * np.arange(parts.sum())
+        return summed(summed(rows, at, inner), np.arange(len(inner)), start)
+    order = np.argsort(-length, kind="stable")
+    begin, shorter = first[order], -length[order]
+    sums = rows.take(at[begin], axis=0)
+    for k in range(1, length.max()):
+        n = np.searchsorted(shorter, -k)  # sums of more than k rows
+        sums[:n] += rows.take(at[begin[:n] + k], axis=0)
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
+
+
+def starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+
+
+class Laid:
+    """Texts in blocks, one after the other; a text's last block is filled up with -2.
+
+    A window starts with each block but a text's last one, or with its only one.
+    """
+
+    def __init__(self, texts: list[np.ndarray]):
+        n = np.array([-(-len(x) // BLOCK) for x in texts], np.int64)
+        self.first = np.cumsum(n) - n
+        self.ids = np.full(int(n.sum()) * BLOCK, -2, np.int64)
+        for x, k in zip(texts, (self.first * BLOCK).tolist(), strict=True):
+            self.ids[k : k + len(x)] = x
+        self.text = np.repeat(np.arange(len(texts)), n)
+        self.goes_on = np.r_[self.text[1:] == self.text[:-1], False] if len(self.text) else np.zeros(0, bool)
+        self.window = self.goes_on | (n[self.text] == 1)
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -127,29 +227,30 @@ class Space:
 
     def __init__(self, words: list[bytes], idf: np.ndarray, vectors: np.ndarray, unknown: float):
         self.words, self.idf = words, idf
-        self.squares = np.append(idf**2, unknown**2).astype(np.float32)  # the last is for -1
-        self.basis = np.vstack([(idf[:, None] * vectors), np.zeros((1, vectors.shape[1]))]).astype(np.float32)  # the last row is for -1
-
-    def project(self, ids: np.ndarray) -> np.ndarray:
-        """Latent vectors of the windows of a text."""
-        vectors, squares = self.windows(ids)
-        return vectors / np.sqrt(np.maximum(squares, 1e-9))[:, None]
-
-    def windows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sums of the windows' vectors, and the squared lengths of the windows themselves."""
-        if not len(ids):
-            return np.zeros((0, self.basis.shape[1]), np.float32), np.zeros(0, np.float32)
-        n = -(-len(ids) // BLOCK)
-        blocks, squares = np.zeros((n, self.basis.shape[1]), np.float32), np.add.reduceat(self.squares[ids], np.arange(0, len(ids), BLOCK))
-        known = np.flatnonzero((ids >= 0) & (self.squares[ids] > 0))
-        for k in range(0, len(known), 1 << 14):
-            at = known[k : k + (1 << 14)]
-            owner = at // BLOCK
-            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            blocks[owner[first]] += np.add.reduceat(self.basis[ids[at]], first)
-        if n > 1:
-            return blocks[:-1] + blocks[1:], squares[:-1] + squares[1:]
-        return blocks, squares
+        self.squares = np.append(idf**2, [0.0, unknown**2]).astype(np.float32)  # the last two are for -2, which is no word, and -1
+        self.basis = np.zeros((len(words) + 2, vectors.shape[1]), np.float32)
+        np.multiply(idf[:, None], vectors, out=self.basis[:-2], casting="same_kind")
+        self.live = self.basis.any(axis=1)
+
+    def project(self, laid: Laid) -> np.ndarray:
+        """Latent vectors of the windows that start with each block; of no use where none does."""
+        vectors, squares = self.windows(laid)
+        vectors /= np.sqrt(np.maximum(squares, 1e-9))[:, None]
+        return vectors
+
+    def windows(self, laid: Laid) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the windows' vectors, and the squared lengths of the windows themselves, by first block."""
+        ids, n = laid.ids, len(laid.text)
+        blocks, squares = np.zeros((n, self.basis.shape[1]), np.float32), self.squares.take(ids).reshape(n, BLOCK).sum(axis=1)
+        at = np.flatnonzero(self.live.take(ids))
+        owner = at // BLOCK
+        first = starts(owner)
+        blocks[owner[first]] = summed(self.basis, ids[at], first)
+        on = np.flatnonzero(laid.goes_on)
+        vectors, lengths = blocks.copy(), squares.copy()
+        vectors[on] += blocks[on + 1]
+        lengths[on] += squares[on + 1]
+        return vectors, lengths
 
     def query(self, ids: np.ndarray) -> np.ndarray | None:
         """A passage's latent vector, scaled so that its product with the passage's own window is 1."""
@@ -164,62 +265,50 @@ class Space:
 
 
 def document_counts(documents: DataFrame) -> DataFrame:
-    """word, n: in how many of all documents each word occurs; a written table."""
+    """word, n: in how many of all documents each word occurs; a written table.
+
+    There is no sum before the shuffle: it halves the rows shuffled but took more time than it saved.
+    """
     small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh()
-        plainly, n = Bounded(lambda words: list(map(plain, words)), COUNTED), Counter()
+        reuse_freed()
+        tally = Tally()
         for b in batches:
-            for said in word_lists(b.column("text")):
-                n.update(set(plainly.get_all(list(set(said)))))
-                if len(n) >= COUNTED:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
-                    n.clear()
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+            for said in lower_words(b.column("text")):
+                tally.add(said)
+                if len(tally.numbers) >= COUNTED:
+                    yield tally.batch()
+                    tally = Tally()
+        if tally.words:
+            yield tally.batch()
 
-    return written(documents.mapInArrow(tidy(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    return written(documents.mapInArrow(tidy(run), "word binary, n long").repartition("word").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
 def spread(space: Space, texts: Iterator[np.ndarray], weight: float) -> np.ndarray:
     """A' A q for the passages of texts (word numbers), where the space's basis is idf x q and a passage's length is weight."""
     out = np.zeros((len(space.words), space.basis.shape[1]), np.float32)
-    words, owners, vectors, held, blocks = [], [], [], 0, 0
-
-    def add() -> None:
-        word, owner, v = np.concatenate(words), np.concatenate(owners), np.concatenate(vectors)
-        order = np.argsort(word, kind="stable")
-        for k in range(0, len(order), AT_ONCE):
-            at = order[k : k + AT_ONCE]
-            w = word[at]
-            first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            out[w[first]] += np.add.reduceat(v[owner[at]], first)
-
-    for ids in texts:
-        at = np.flatnonzero((ids >= 0) & (space.squares[ids] > 0))
-        if not len(at):
-            continue
-        z, squares = space.windows(ids)
-        z = z * (np.divide(weight**2, squares, out=np.zeros_like(squares), where=squares > 0))[:, None]
-        if -(-len(ids) // BLOCK) > 1:
-            none = np.zeros((1, z.shape[1]), np.float32)
-            z = np.vstack([z, none]) + np.vstack([none, z])  # by block
-        words.append(ids[at])
-        owners.append(at // BLOCK + blocks)
-        vectors.append(z)
-        held, blocks = held + len(at), blocks + len(z)
-        if held >= AT_ONCE:
-            add()
-            words, owners, vectors, held, blocks = [], [], [], 0, 0
-    if held:
-        add()
-    return out * space.idf.astype(np.float32)[:, None]
-
-
-def fit(documents: DataFrame, items: list[list[bytes]]) -> Space:
+    for group in together(texts):
+        laid = Laid(group)
+        z, squares = space.windows(laid)
+        z *= np.divide(weight**2, squares, out=np.zeros_like(squares), where=laid.window & (squares > 0))[:, None]
+        on = np.flatnonzero(laid.goes_on)
+        blocks = z.copy()
+        blocks[on + 1] += z[on]
+        at = np.flatnonzero((laid.ids >= 0) & (space.squares.take(laid.ids) > 0))
+        at = at[np.argsort(laid.ids[at], kind="stable")]
+        word = laid.ids[at]
+        first = starts(word)
+        out[word[first]] += summed(blocks, at // BLOCK, first)
+    out *= space.idf.astype(np.float32)[:, None]
+    return out
+
+
+def weighed(documents: DataFrame, items: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, int]:
+    """The vocabulary, its words' weights, and how many documents there are."""
     spark = documents.sparkSession
-    small_batches(spark)
     own = sorted({plain(w) for words in items for w in words})
     said = documents.select(F.col("text").cast("string").alias("text"))
     counted, total = document_counts(said), said.count()
@@ -231,7 +320,39 @@ def fit(documents: DataFrame, items: list[list[bytes]]) -> Space:
     often = np.array([often.get(w, 0) for w in words], np.float64)
     idf = np.log((1 + total) / (1 + often)).clip(min=0.0)
     idf[often > COMMON * total] = 0.0
-    bench = spark.createDataFrame([(b" ".join(x).decode(),) for x in items], "text string").repartition(4)
+    return words, idf, total
+
+
+def coded(documents: DataFrame, words: list[bytes]) -> DataFrame:
+    """doc_id, ids: the word numbers of every document; a written table."""
+    given = documents.sparkSession.sparkContext.broadcast(words)
+    small_batches(documents.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
+        reuse_freed()
+        vocabulary = Vocabulary(given.value)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(vocabulary.coded, lower_words(b.column("text"))), pa.binary())], ["doc_id", "ids"])
+
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return written(docs.mapInArrow(tidy(run), "doc_id long, ids binary"), "coded")
+
+
+def fit(documents: DataFrame, items: list[list[bytes]]) -> Space:
+    words, idf, total = weighed(documents, items)
+    rows = coded(documents, words)
+    space = decomposed(rows, items, words, idf, total)
+    drop_written(rows)
+    return space
+
+
+def decomposed(rows: DataFrame, items: list[list[bytes]], words: list[bytes], idf: np.ndarray, total: int) -> Space:
+    """The space of the passages of items and of total documents, which rows has as ``coded`` gives them."""
+    spark = rows.sparkSession
+    small_batches(spark)
+    vocabulary = Vocabulary(words)
+    bench = spark.createDataFrame([(vocabulary.coded(x),) for x in items], "ids binary").repartition(4)
 
     def times(rows: DataFrame, q: np.ndarray, weight: float) -> np.ndarray:
         """A' A q, summed over the tasks."""
@@ -239,9 +360,10 @@ def fit(documents: DataFrame, items: list[list[bytes]]) -> Space:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh()
+            reuse_freed()
             words, idf, q = given.value
-            vocabulary, space = Vocabulary(words), Space(words, idf, q, 0.0)
-            out = spread(space, (vocabulary.ids(said) for b in batches for said in word_lists(b.column("text"))), weight)
+            space = Space(words, idf, q, 0.0)
+            out = spread(space, (ids for b in batches for ids in Vocabulary.read(b.column("ids"), len(words))), weight)
             if out.any():
                 yield from _parts(out)
 
@@ -250,7 +372,7 @@ def fit(documents: DataFrame, items: list[list[bytes]]) -> Space:
     q = np.random.default_rng(7).standard_normal((len(words), min(RANK + OVERSAMPLE, len(words))))
     for _ in range(ROUNDS):
         q, _ = np.linalg.qr(times(bench, q, 1.0))
-    y = times(bench, q, 1.0) + times(said, q, DOCUMENT_WEIGHT * min(1.0, FIT_DOCUMENTS / max(1, total)) ** 0.5)
+    y = times(bench, q, 1.0) + times(rows.select("ids"), q, DOCUMENT_WEIGHT * min(1.0, FIT_DOCUMENTS / max(1, total)) ** 0.5)
     return Space(words, idf, singular_vectors(q, y)[:, :RANK], float(np.log(1 + total)))
 
 
@@ -276,10 +398,14 @@ class Item:
         rare = sorted(range(len(self.ids)), key=lambda i: (-idf[self.ids[i]], i))[:3]
         #: The answer: what follows the question, or else the item's three rarest words.
         self.answer = tail or [self.ids[i] for i in sorted(rare)]
+        self.times, self.different = Counter(self.ids), frozenset(self.ids)
 
     def settle(self, ids: list[int]) -> tuple[int, bool] | None:
         """(longest common subsequence, word for word) if ids hold the item."""
-        n, both = len(self.ids), lcs(self.ids, ids)
+        n = len(self.ids)
+        if sum(map(self.times.get, self.different.intersection(ids))) < PARAPHRASE * n:
+            return None  # no subsequence is longer than the count of the item's words there
+        both = lcs(self.ids, ids)
         if both >= VERBATIM * n:
             return both, True
         if both >= PARAPHRASE * n and 3 * lcs(self.answer, ids) >= 2 * len(self.answer):
@@ -343,7 +469,10 @@ def leaks(documents: DataFrame, benchmark: DataFrame, cosine: float = COSINE) ->
 
 def _search(docs: DataFrame, block: list, cosine: float, schema: str) -> DataFrame:
     spark = docs.sparkSession
-    space = fit(docs, [words for _, words in block])
+    said = [words for _, words in block]
+    words, idf, total = weighed(docs, said)
+    docs = coded(docs, words)
+    space = decomposed(docs, said, words, idf, total)
     vocabulary = Vocabulary(space.words)
     items, queries, owner, weak = [], [], [], []
     for item_id, words in block:
@@ -358,28 +487,32 @@ def _search(docs: DataFrame, block: list, cosine: float, schema: str) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh()
+        reuse_freed()
         space, items, queries, owner, weak = shared.value
-        vocabulary = Vocabulary(space.words)
         common = Weak(weak, items, len(space.words)) if weak else None
         for b in batches:
-            rows = []
-            for doc_id, words in zip(b.column("doc_id").to_pylist(), word_lists(b.column("text")), strict=True):
-                ids = vocabulary.ids(words)
-                windows = space.project(ids) if len(owner) else ()
-                best: dict[int, tuple] = {}
+            rows, ids = [], b.column("doc_id").to_pylist()
+            for group in together(Vocabulary.read(b.column("ids"), len(space.words))):
+                best: dict[tuple[int, int], tuple] = {}
 
-                def settle(i: int, at: int, near: float, ids: np.ndarray = ids, best: dict[int, tuple] = best) -> None:
+                def settle(d: int, i: int, at: int, near: float, group: list = group, best: dict = best) -> None:
                     n = len(items[i].ids)
-                    if got := items[i].settle(ids[max(0, at - n) : at + 2 * BLOCK + n].tolist()):
-                        best[i] = max(best.get(i, (-1,)), (got[0], near, got[1]))
-
-                for k in range(0, len(windows), 1024):
-                    near = windows[k : k + 1024] @ queries.T
-                    for w, q in np.argwhere(near >= cosine):
-                        settle(int(owner[q]), (k + int(w)) * BLOCK, float(near[w, q]))
-                for i, at in common.windows(ids, items) if common and len(ids) else ():
-                    settle(i, at, 0.0)
-                rows += [(doc_id, items[i].item_id, c, n, len(items[i].ids), v) for i, (n, c, v) in sorted(best.items())]
+                    if got := items[i].settle(group[d][max(0, at - n) : at + 2 * BLOCK + n].tolist()):
+                        best[d, i] = max(best.get((d, i), (-1,)), (got[0], near, got[1]))
+
+                if len(owner):
+                    laid = Laid(group)
+                    windows = space.project(laid)
+                    for k in range(0, len(windows), 1024):
+                        near = windows[k : k + 1024] @ queries.T
+                        for w, q in np.argwhere((near >= cosine) & laid.window[k : k + 1024, None]).tolist():
+                            d = int(laid.text[k + w])
+                            settle(d, int(owner[q]), (k + w - int(laid.first[d])) * BLOCK, float(near[w, q]))
+                for d, text in enumerate(group if common else ()):
+                    for i, at in common.windows(text, items) if len(text) else ():
+                        settle(d, i, at, 0.0)
+                rows += [(ids[d], items[i].item_id, c, n, len(items[i].ids), v) for (d, i), (n, c, v) in sorted(best.items())]
+                del ids[: len(group)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["doc_id", "item_id", "cosine", "lcs", "n_item_words", "verbatim"])
 

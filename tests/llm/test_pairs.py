@@ -248,6 +248,34 @@ def test_space_of_all_documents(spark, monkeypatch):
     assert np.allclose(got, want, rtol=1e-3, atol=1e-3)
 
 
+def test_decontamination_sums_counts_and_bounds(monkeypatch):
+    """Sums, counts and word numbers against plain ones; no subsequence is measured where a count of words rules it out."""
+    import numpy as np
+
+    random.seed(4)
+    rng = np.random.default_rng(4)
+    rows, at = rng.standard_normal((50, 3)).astype(np.float32), rng.integers(0, 50, 3000)
+    for first in ([0], [0, 1, 2, 40, 41, 700, 2999], list(range(0, 3000, 7))):
+        got = decontaminate.summed(rows, at, np.array(first))
+        assert np.allclose(got, np.add.reduceat(rows[at], first), atol=1e-3) and len(got) == len(first)
+    assert decontaminate.summed(rows, at[:0], at[:0]).shape == (0, 3)
+    some = [b"Ab", b"ab,", b"ab", b"...", b",", b"(x)", b"X", b"\xc3\x89t.", b"\xc3\xa9t"] + [f"w{k}{'.' * (k % 3)}".encode() for k in range(3000)]
+    texts = [random.choices(some, k=random.randrange(60)) for _ in range(400)]
+    tally = decontaminate.Tally()
+    for t in texts:
+        tally.add([w.lower() for w in t])
+    want = Counter(w for t in texts for w in {decontaminate.plain(x) for x in t})
+    assert dict(zip(*(x.to_pylist() for x in tally.batch().columns), strict=True)) == want
+    words = sorted(want)[::2]
+    vocabulary, numbers = decontaminate.Vocabulary(words), {w: i for i, w in enumerate(words)}
+    assert all(vocabulary.ids(t).tolist() == [numbers.get(decontaminate.plain(x), -1) for x in t] for t in texts)
+    item = decontaminate.Item(1, [b"%d" % k for k in range(20)], np.arange(20), np.ones(20))
+    measured = []
+    monkeypatch.setattr(decontaminate, "lcs", lambda a, b, lcs=decontaminate.lcs: measured.append(b) or lcs(a, b))
+    assert item.settle([*range(11), *range(30, 90), *range(11)]) is None and not measured
+    assert item.settle([5, *range(16), -1]) == (16, True) and item.settle([*range(8, 20), 52]) is None and len(measured) == 3
+
+
 def test_decontamination_of_common_words(spark):
     """Items whose words are common: in a group of copies with more than 12 % of the rows, and in a table of few rows."""
     random.seed(8)
