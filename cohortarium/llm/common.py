@@ -50,6 +50,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shrink_executors(spark: SparkSession) -> None:
+    """Every executor's JVM collects its garbage, and gives back what its heap and native memory then have free.
+
+    Else a heap that one stage of a long job has filled stays as large beside the next one's Python workers. Executors
+    that are idle get one task each; where the driver is the only one, ``written`` has done it.
+    """
+    executors = len(spark.sparkContext._jsc.sc().statusTracker().getExecutorInfos()) - 1
+    if executors > 0:
+        spark.range(0, executors, 1, executors).selectExpr("java_method('java.lang.System', 'gc') done").write.format("noop").mode("overwrite").save()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

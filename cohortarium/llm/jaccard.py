@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, fresh, hash_words, mixed, small_batches, tidy, window_hashes, written
+from .common import by_batch, fresh, hash_words, mixed, shrink_executors, small_batches, tidy, window_hashes, written
 from .components import components
 from .membership import one_row_an_id, only_ids, without_ids
 
@@ -279,18 +279,21 @@ def near_duplicates(documents: DataFrame, width: int = 3, percent: int = 90) ->
     tokens = sets.select(F.explode("tokens").alias("token"), "doc_id")
     shared = tokens.groupBy("token").agg(F.count("*").alias("in_tile"), F.min("doc_id").alias("leader")).filter("in_tile > 1")
     tiles = written(tokens.join(shared, "token"), "tiles")
+    shrink_executors(documents.sparkSession)
     bits, sizes = sets.select("doc_id", "n", "bits"), sets.select("doc_id", "n")
     size = lambda k: sizes.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"))
     star = tiles.filter("doc_id != leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     star = star.join(size("a"), "a").join(size("b"), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
     links = written(verified(bounded_pairs(star, bits, percent), documents, width, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     clusters = components(links)
+    shrink_executors(documents.sparkSession)
     clustered = sizes.join(clusters.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("cluster"))
     known = tiles.join(clustered, "doc_id")
     large = known.filter(F.col("in_tile") > SMALL)
     several = large.groupBy("token").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).filter("lo != hi").select("token")
     more = bounded_pairs(small_tile_pairs(known.filter(F.col("in_tile") <= SMALL), percent), bits, percent).unionByName(tile_pairs(large.join(several, "token"), bits, percent)).distinct()
     links2 = written(verified(more, documents, width, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    shrink_executors(documents.sparkSession)
     # repeated rows of one id with different sets link through the id
     same = classes.join(firsts, "key").filter("doc_id != first").select(F.col("first").alias("u"), F.col("doc_id").alias("v"))
     final = components(links.unionByName(links2).unionByName(same))
